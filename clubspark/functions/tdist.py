@@ -8,6 +8,7 @@ import sys
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Ship these helpers with the UDFs; executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -64,12 +65,12 @@ def _rowwise(fn, a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([fn(x, y) if ok else None for x, y, ok in zip(a, b, known)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return _rowwise(two_sided_p, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_critical_95(df: pd.Series) -> pd.Series:
     """Half width of a 95 % interval in standard errors."""
     return _rowwise(upper_quantile, pd.Series([0.05] * len(df)), df)

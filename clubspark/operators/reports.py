@@ -215,7 +215,7 @@ def score_histogram(rounds: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
     per_bin = counts.groupBy(F.least(C.idiv((F.col("score") - lo) * bins, width) + 1, F.lit(bins)).alias("bin")).agg(
         F.sum("n").alias("n")
     )
-    edges = ends.select(F.explode(F.sequence(F.lit(1), F.lit(bins))).cast("bigint").alias("bin"), "lo", "hi")
+    edges = ends.select(F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(bins).cast("bigint"))).alias("bin"), "lo", "hi")
     span = F.greatest(F.col("hi") - F.col("lo"), F.lit(1)).cast("double")
     return edges.join(per_bin, "bin", "left").select(
         "bin",

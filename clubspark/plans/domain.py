@@ -111,19 +111,25 @@ def players(spark: SparkSession, sf_dir: str, existing: bool = False) -> DataFra
     )
 
 
+def rounds_from_orders(orders: DataFrame, days: DataFrame) -> DataFrame:
+    """Stored rounds from an orders table or stream."""
+    wide = orders.where(~_unnamed()).select(
+        F.col("o_orderkey").alias("scorecard_id"),
+        F.col("o_custkey").alias("player_id"),
+        F.lit("").alias("Name"),
+        *_round_scores(),
+    )
+    long = reshape.unpivot_rounds(wide, ids=("scorecard_id", "player_id"))
+    dated = reshape.assign_dates(reshape.played(reshape.with_round_id(long)))
+    return loading.with_known_weather(dated, days).select("round_id", "player_id", "round_date", "score")
+
+
 def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored rounds: played, on days with weather, keyed by player id.
 
     A stored round carries its player id, so the customer table is not needed.
     """
-    cards = table(spark, sf_dir, "orders").where(~_unnamed())
-    wide = cards.select(
-        F.col("o_orderkey").alias("scorecard_id"), F.col("o_custkey").alias("player_id"), F.lit("").alias("Name"), *_round_scores()
-    )
-    long = reshape.unpivot_rounds(wide, ids=("scorecard_id", "player_id"))
-    dated = reshape.assign_dates(reshape.played(reshape.with_round_id(long)))
-    kept = loading.with_known_weather(dated, weather_dates(spark, sf_dir))
-    return kept.select("round_id", "player_id", "round_date", "score")
+    return rounds_from_orders(table(spark, sf_dir, "orders"), weather_dates(spark, sf_dir))
 
 
 def adjusted_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,10 +138,10 @@ def adjusted_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adjust_scores(rounds(spark, sf_dir), weather(spark, sf_dir))
 
 
-def _events(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+def requests_from_events(events: DataFrame, customers: DataFrame, kind: str) -> DataFrame:
     """Booking-form records of one event type; names as typed, untidy."""
-    events = table(spark, sf_dir, "events").where(F.col("event_type") == kind)
-    who = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    events = events.where(F.col("event_type") == kind)
+    who = customers.select("c_custkey", "c_name")
     return events.join(who, events["user_id"] == who["c_custkey"], "left").select(
         F.col("event_id").alias("booking_id"),
         F.concat(F.lit("  "), F.lower("c_name"), F.lit(" ")).alias("player_name"),
@@ -148,6 +154,10 @@ def _events(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     )
 
 
+def _events(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return requests_from_events(table(spark, sf_dir, "events"), table(spark, sf_dir, "customer"), kind)
+
+
 def booking_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir, "purchase").drop("handicap", "player_id")
 

@@ -104,7 +104,8 @@ def load_rounds(spark: SparkSession, sf: str) -> DataFrame:
 @query("load_audit", """
 SELECT 'players' AS table_name, count(DISTINCT player_name) AS found, (SELECT count(*) FROM players WHERE registered) AS existing,
   count(DISTINCT CASE WHEN player_name NOT IN (SELECT player_name FROM players WHERE registered) THEN player_name END) AS new,
-  0 AS rejected, existing + new AS final FROM scorecards
+  0 AS rejected, (SELECT count(*) FROM players WHERE registered) + count(DISTINCT CASE WHEN player_name NOT IN
+    (SELECT player_name FROM players WHERE registered) THEN player_name END) AS final FROM scorecards
 UNION ALL
 SELECT 'weather', count(*), count(CASE WHEN date < DATE '2020-01-01' THEN 1 END), count(CASE WHEN date >= DATE '2020-01-01' THEN 1 END), 0, count(*)
 FROM weather
@@ -144,7 +145,7 @@ def membership(spark: SparkSession, sf: str) -> DataFrame:
     return counts.select("player_id", player_stats.membership(F.lit("guest"), F.col("rounds")).alias("member_status"))
 
 
-@query("player_stats", f"""
+PLAYER_STATS_SQL = with_views(f"""
 SELECT p.player_id, player_name, CASE WHEN coalesce(n, 0) >= 30 THEN 'member' ELSE 'guest' END AS member_status,
   h.handicap, CAST(coalesce(n, 0) AS INTEGER) AS rounds_played
 FROM players p
@@ -152,7 +153,10 @@ LEFT JOIN (SELECT player_id, count(*) AS n FROM adjusted GROUP BY player_id) c O
 LEFT JOIN (SELECT player_id, {handicap_sql('total', 'n')} AS handicap FROM (
   SELECT player_id, CAST(sum({differential_sql('score')}) AS BIGINT) AS total, count(*) AS n FROM (
     SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY round_date DESC, round_id DESC) AS age FROM adjusted)
-  WHERE age <= 20 GROUP BY player_id)) h ON p.player_id = h.player_id""", ("players", "adjusted"))
+  WHERE age <= 20 GROUP BY player_id)) h ON p.player_id = h.player_id""", "players", "adjusted")
+
+
+@query("player_stats", PLAYER_STATS_SQL)
 def stats_of_players(spark: SparkSession, sf: str) -> DataFrame:
     return player_stats.player_stats(D.players(spark, sf), D.adjusted_rounds(spark, sf))
 

@@ -17,13 +17,16 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType |
 
 
 def read_scorecards(spark: SparkSession, path: str | list[str], infer: bool = False) -> DataFrame:
-    """Scorecards, each with an id from its content and position-free order.
+    return read_csv(spark, path, None if infer else schemas.SCORECARDS)
 
-    The id is a hash of the whole row and a running number among equal rows,
-    so a rerun gives the same ids however the files are split.
+
+def with_scorecard_id(cards: DataFrame, start: int = 0) -> DataFrame:
+    """Number scorecards from ``start`` in file order, with gaps and without a shuffle.
+
+    The numbers follow the file splits, so write the result to a table once and
+    read it from there.
     """
-    cards = read_csv(spark, path, None if infer else schemas.SCORECARDS)
-    return cards
+    return cards.withColumn("scorecard_id", F.monotonically_increasing_id() + start)
 
 
 def read_weather(spark: SparkSession, path: str | list[str], infer: bool = False) -> DataFrame:
