@@ -19,7 +19,7 @@ TREES = 100
 BOOSTING_ROUNDS = 100
 BOOSTING_RATE = 0.1
 BOOSTING_DEPTH = 3
-FOREST_DEPTH = 10
+FOREST_DEPTH = 8
 SEED = 42
 KINDS = ("linear", "ridge", "forest", "gbt")
 
@@ -40,7 +40,9 @@ def _estimator(kind: str, train: DataFrame) -> Estimator:
     elif kind == "ridge":
         model = _ridge(train)
     elif kind == "forest":
-        model = RandomForestRegressor(numTrees=TREES, maxDepth=FOREST_DEPTH, featureSubsetStrategy="all", seed=SEED)
+        model = RandomForestRegressor(
+            numTrees=TREES, maxDepth=FOREST_DEPTH, featureSubsetStrategy="all", maxMemoryInMB=1024, seed=SEED
+        )
     elif kind == "gbt":
         model = GBTRegressor(maxIter=BOOSTING_ROUNDS, stepSize=BOOSTING_RATE, maxDepth=BOOSTING_DEPTH, seed=SEED)
     else:

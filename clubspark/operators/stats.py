@@ -48,7 +48,7 @@ def _fences(counts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _box(counts: DataFrame, fenced: DataFrame, keys: list[str]) -> DataFrame:
+def _box(fenced: DataFrame, keys: list[str]) -> DataFrame:
     inside = F.col("score").between(F.col("_lo"), F.col("_hi"))
     return fenced.groupBy(*keys, "q25", "q50", "q75").agg(
         F.min(F.when(inside, F.col("score"))).alias("lower_whisker"),
@@ -60,12 +60,14 @@ def _box(counts: DataFrame, fenced: DataFrame, keys: list[str]) -> DataFrame:
 def box_by_season(rounds: DataFrame) -> DataFrame:
     """Quartiles, whiskers and outlier count per season."""
     counts = rounds.groupBy(C.season(F.col("round_date")).alias("season"), "score").agg(F.count(F.lit(1)).alias("n"))
-    return _box(counts, counts.join(_fences(counts, ["season"]), "season"), ["season"])
+    return _box(counts.join(_fences(counts, ["season"]), "season"), ["season"])
 
 
 def box_overall(rounds: DataFrame) -> DataFrame:
-    counts = score_counts(rounds).withColumn("all", F.lit("all"))
-    return _box(counts, counts.join(_fences(counts, ["all"]), "all"), ["all"]).drop("all")
+    counts = score_counts(rounds)
+    fences = _fences(counts, [])
+    fence = fences.select(F.struct(*fences.columns)).scalar()
+    return _box(counts.withColumn("_f", fence).select("score", "n", "_f.*"), [])
 
 
 def score_outliers(rounds: DataFrame) -> DataFrame:

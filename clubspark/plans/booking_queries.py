@@ -95,8 +95,8 @@ def book_requests(spark: SparkSession, sf: str) -> DataFrame:
     return bookings.book(D.booking_requests(spark, sf), players, rounds, D.weather(spark, sf))
 
 
-def training(spark: SparkSession, sf: str) -> DataFrame:
-    rounds = D.rounds(spark, sf)
+def training(spark: SparkSession, sf: str, adjusted: bool = False) -> DataFrame:
+    rounds = D.adjusted_rounds(spark, sf) if adjusted else D.rounds(spark, sf)
     return features.training_features(rounds, player_stats.handicaps(rounds), D.weather(spark, sf))
 
 

@@ -10,6 +10,9 @@ from clubspark.operators import reports as R
 from clubspark.operators import reshape
 from clubspark.plans import domain as D
 from clubspark.plans.registry import differential_sql, handicap_sql, query, with_views
+from clubspark.session import shared_folder
+from clubspark.sources.tables import ParquetTables
+from clubspark.venue import Venue
 
 _FIRST_SEEN = """, first_seen AS (
   SELECT player_name, min(scorecard_id) AS first_seen FROM scorecards WHERE player_name IS NOT NULL GROUP BY player_name
@@ -161,6 +164,35 @@ def stats_of_players(spark: SparkSession, sf: str) -> DataFrame:
     return player_stats.player_stats(D.players(spark, sf), D.adjusted_rounds(spark, sf))
 
 
+_BY_NAME = with_views("", "rounds_raw", "deltas") + f"""
+, stored AS (
+  SELECT player_name, round_id, round_date, CAST(score + coalesce(delta, 0) AS INTEGER) AS score
+  FROM rounds_raw JOIN deltas ON round_date = date WHERE score > 0
+)
+SELECT names.player_name, CASE WHEN coalesce(n, 0) >= 30 THEN 'member' ELSE 'guest' END AS member_status,
+  h.handicap, CAST(coalesce(n, 0) AS INTEGER) AS rounds_played
+FROM (SELECT DISTINCT player_name FROM rounds_raw) AS names
+LEFT JOIN (SELECT player_name, count(*) AS n FROM stored GROUP BY 1) c ON names.player_name = c.player_name
+LEFT JOIN (SELECT player_name, {handicap_sql('total', 'n')} AS handicap FROM (
+  SELECT player_name, CAST(sum({differential_sql('score')}) AS BIGINT) AS total, count(*) AS n FROM (
+    SELECT *, row_number() OVER (PARTITION BY player_name ORDER BY round_date DESC, round_id DESC) AS age FROM stored)
+  WHERE age <= 20 GROUP BY player_name)) h ON names.player_name = h.player_name"""
+
+
+@query("incremental_loads", _BY_NAME)
+def incremental_loads(spark: SparkSession, sf: str) -> DataFrame:
+    """Two deliveries loaded one after the other into stored tables, then the player table."""
+    venue = Venue(ParquetTables(spark, shared_folder(spark)))
+    for load_id, loaded in enumerate((True, False), start=1):
+        venue.load(
+            D.scorecards(spark, sf, loaded=loaded),
+            D.weather_raw(spark, sf, reshape.FIRST_WEATHER_DAY),
+            load_id,
+            tie_break=D.TIE_BREAK,
+        )
+    return venue.players().select("player_name", "member_status", "handicap", "rounds_played")
+
+
 @query("round_counts", """
 SELECT p.player_id, player_name, count(round_id) AS round_count
 FROM players p LEFT JOIN rounds r ON p.player_id = r.player_id GROUP BY p.player_id, player_name""", ("players", "rounds"))

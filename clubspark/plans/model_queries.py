@@ -14,7 +14,7 @@ from clubspark.session import materialize, shared_folder
 
 def _split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Scaled (train, test) rows, read from a table written once."""
-    scaled, _ = models.prepare(materialize(training(spark, sf)))
+    scaled, _ = models.prepare(materialize(training(spark, sf, adjusted=True)))
     return scaled.where(F.col("split") == "train"), scaled.where(F.col("split") == "test")
 
 
@@ -66,7 +66,7 @@ def actual_vs_predicted(spark: SparkSession, sf: str) -> DataFrame:
 def score_bookings(spark: SparkSession, sf: str) -> DataFrame:
     """Booking requests with price and predicted score from a saved and reloaded model."""
     path = shared_folder(spark)
-    models.train_bundle("gbt", materialize(training(spark, sf))).save(path)
+    models.train_bundle("gbt", materialize(training(spark, sf, adjusted=True))).save(path)
     bundle = models.ModelBundle.load(spark, path)
     players, rounds = _stats(spark, sf)
     asked = bookings.validate_bookings(D.booking_requests(spark, sf))

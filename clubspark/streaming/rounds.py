@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -90,5 +91,6 @@ def booking_stream(requests: DataFrame, players: DataFrame, rounds: DataFrame, w
     Players, round counts and weather are static sides; a request sent twice
     within ``keep`` is booked once.
     """
-    once = requests.withWatermark("booking_time", keep).dropDuplicatesWithinWatermark(["booking_id"])
-    return bookings.book(once, players, rounds, weather)
+    timed = requests.withColumn("_event_time", F.col("booking_time").cast("timestamp"))
+    once = timed.withWatermark("_event_time", keep).dropDuplicatesWithinWatermark(["booking_id"])
+    return bookings.book(once.drop("_event_time"), players, rounds, weather)
