@@ -55,12 +55,14 @@ def weekday_name(date: Column) -> Column:
     return F.date_format(date, "EEEE")
 
 
+# Seasons from December on, three months each.
+SEASONS = ("Winter", "Spring", "Summer", "Fall")
+
+
 def season(date: Column) -> Column:
     """Meteorological season of a date: December to February is Winter, and so on."""
-    quarter = idiv(F.month(date) % 12, 3)
-    return (
-        F.when(quarter == 0, "Winter").when(quarter == 1, "Spring").when(quarter == 2, "Summer").when(quarter == 3, "Fall")
-    )
+    names = F.array(*[F.lit(name) for name in SEASONS])
+    return F.element_at(names, (idiv(F.month(date) % 12, 3) + 1).cast("int"))
 
 
 # --- names -----------------------------------------------------------------

@@ -69,13 +69,11 @@ def scaler_stats(df: DataFrame) -> DataFrame:
 
 def apply_scaler(df: DataFrame, stats: DataFrame | dict) -> DataFrame:
     """Standardise the scaled columns with one row of stats, as a table or as values."""
-
-    def value(name: str) -> Column:
-        return F.lit(stats[name]) if isinstance(stats, dict) else stats.select(name).scalar()
-
-    return df.withColumns(
-        {c: (F.col(c) - value(f"{c}_mean")) / value(f"{c}_sd") for c in SCALED}
-    )
+    if isinstance(stats, dict):
+        values = F.struct(*[F.lit(v).alias(k) for k, v in stats.items()])
+    else:
+        values = stats.select(F.struct(*stats.columns)).scalar()
+    return df.withColumns({c: (F.col(c) - values[f"{c}_mean"]) / values[f"{c}_sd"] for c in SCALED})
 
 
 def split_flag(id_col: str = "round_id", seed: int = 42) -> Column:

@@ -210,7 +210,8 @@ def score_histogram(rounds: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Equal bins over [min, max], the last one closed, empty bins included."""
     counts = score_counts(rounds)
     ends = counts.agg(F.min("score").cast("bigint").alias("lo"), F.max("score").cast("bigint").alias("hi"))
-    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
+    both = ends.select(F.struct("lo", "hi")).scalar()
+    lo, hi = both["lo"], both["hi"]
     width = F.greatest(hi - lo, F.lit(1))
     per_bin = counts.groupBy(F.least(C.idiv((F.col("score") - lo) * bins, width) + 1, F.lit(bins)).alias("bin")).agg(
         F.sum("n").alias("n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,17 +23,18 @@ WEEKEND_WEIGHT = 4
 
 def unpivot_rounds(wide: DataFrame, ids: Sequence[str] = ("scorecard_id",)) -> DataFrame:
     """One row per round of each named scorecard: ids, player_name, round_number, score."""
-    values = [f"`{name}`" for name in ROUND_COLUMNS]
+    numbers = [str(k) for k in range(1, len(ROUND_COLUMNS) + 1)]
+    scores = [F.col(f"`{name}`").alias(k) for name, k in zip(ROUND_COLUMNS, numbers)]
     long = (
-        wide.select(*ids, "Name", *values)
+        wide.select(*ids, "Name", *scores)
         .where(F.col("Name").isNotNull())
-        .unpivot([*ids, "Name"], values, "label", "score")
-    )
-    number = F.coalesce(
-        *[F.when(F.col("label") == name, k) for k, name in enumerate(ROUND_COLUMNS, start=1)]
+        .unpivot([*ids, "Name"], [f"`{k}`" for k in numbers], "label", "score")
     )
     return long.select(
-        *ids, F.col("Name").alias("player_name"), number.alias("round_number"), F.col("score").cast("int").alias("score")
+        *ids,
+        F.col("Name").alias("player_name"),
+        F.col("label").cast("int").alias("round_number"),
+        F.col("score").cast("int").alias("score"),
     )
 
 
@@ -55,7 +57,11 @@ def drop_zero_scores(rounds: DataFrame) -> DataFrame:
 
 
 def assign_dates(rounds: DataFrame, seed: int = 0, id_col: str = "round_id") -> DataFrame:
-    """Give each round a repeatable date spread over the playing seasons."""
+    """Give each round a repeatable date spread over the playing seasons.
+
+    The draw always yields a date; saying so spares later joins a null check
+    that would draw again.
+    """
     h = C.portable_hash(F.col(id_col), seed)
 
     def draw(step: int, span: tuple[int, int]) -> Column:
@@ -63,7 +69,8 @@ def assign_dates(rounds: DataFrame, seed: int = 0, id_col: str = "round_id") ->
         return (C.idiv(h, step) % count + first).cast("int")
 
     date = F.make_date(draw(1, YEARS), draw(YEARS[1], MONTHS), draw(YEARS[1] * MONTHS[1], DAYS))
-    return rounds.withColumn("round_date", date)
+    first_day = F.lit(datetime.date(YEARS[0], MONTHS[0], DAYS[0]))
+    return rounds.withColumn("round_date", F.coalesce(date, first_day))
 
 
 def weighted_calendar(spark: SparkSession) -> DataFrame:
@@ -105,15 +112,21 @@ def clean_weather(
 ) -> DataFrame:
     """One weather row per day: the first by ``tie_break``.
 
-    The rank filter keeps one row per day and map task before the shuffle, so
-    a day holding a large share of the rows does not reach one task whole.
+    The smallest leading key per day is found by a hash aggregation, whose
+    result (one row per calendar day) then thins out the readings, so only the
+    few that share it are ranked.  The rank filter again keeps one row per day
+    and map task before the shuffle.  No day reaches one task whole.
     """
     day = raw.withColumn("date", F.to_date("time")).where(F.col("date").isNotNull())
     if since is not None:
         day = day.where(F.col("date") >= F.lit(since).cast("date"))
+    lead = tie_break[0]
+    leads = day.groupBy(F.col("date").alias("_date")).agg(F.min(lead).alias("_lead"))
+    leading = (F.col("date") == F.col("_date")) & F.col(lead).eqNullSafe(F.col("_lead"))
     first = Window.partitionBy("date").orderBy(*[F.col(c).asc_nulls_last() for c in tie_break])
     return (
-        day.withColumn("_rank", F.row_number().over(first))
+        day.join(F.broadcast(leads), leading)
+        .withColumn("_rank", F.row_number().over(first))
         .where(F.col("_rank") == 1)
         .select(
             "date",

@@ -34,23 +34,27 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # --- box plots -------------------------------------------------------------
 
 
-def _fences(counts: DataFrame, keys: list[str]) -> DataFrame:
-    q = F.percentile(F.col("score"), [0.25, 0.5, 0.75], F.col("n"))
-    quart = counts.groupBy(*keys).agg(q.alias("q"))
-    step = (F.col("q")[2] - F.col("q")[0]) * WHISKER
-    return quart.select(
-        *keys,
-        F.col("q")[0].alias("q25"),
-        F.col("q")[1].alias("q50"),
-        F.col("q")[2].alias("q75"),
-        (F.col("q")[0] - step).alias("_lo"),
-        (F.col("q")[2] + step).alias("_hi"),
+def _fenced(counts: DataFrame, *keys: str) -> DataFrame:
+    """Score counts with the quartiles and whisker limits of their group.
+
+    The windows run over distinct scores, a few hundred rows.
+    """
+    group = Window.partitionBy(*keys)
+    q = F.percentile(F.col("score"), [0.25, 0.5, 0.75], F.col("n")).over(group)
+    step = (F.col("_q")[2] - F.col("_q")[0]) * WHISKER
+    return counts.withColumn("_q", q).select(
+        *counts.columns,
+        F.col("_q")[0].alias("q25"),
+        F.col("_q")[1].alias("q50"),
+        F.col("_q")[2].alias("q75"),
+        (F.col("_q")[0] - step).alias("_lo"),
+        (F.col("_q")[2] + step).alias("_hi"),
     )
 
 
-def _box(fenced: DataFrame, keys: list[str]) -> DataFrame:
+def _box(counts: DataFrame, *keys: str) -> DataFrame:
     inside = F.col("score").between(F.col("_lo"), F.col("_hi"))
-    return fenced.groupBy(*keys, "q25", "q50", "q75").agg(
+    return _fenced(counts, *keys).groupBy(*keys, "q25", "q50", "q75").agg(
         F.min(F.when(inside, F.col("score"))).alias("lower_whisker"),
         F.max(F.when(inside, F.col("score"))).alias("upper_whisker"),
         F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).cast("bigint").alias("outliers"),
@@ -60,21 +64,17 @@ def _box(fenced: DataFrame, keys: list[str]) -> DataFrame:
 def box_by_season(rounds: DataFrame) -> DataFrame:
     """Quartiles, whiskers and outlier count per season."""
     counts = rounds.groupBy(C.season(F.col("round_date")).alias("season"), "score").agg(F.count(F.lit(1)).alias("n"))
-    return _box(counts.join(_fences(counts, ["season"]), "season"), ["season"])
+    return _box(counts, "season")
 
 
 def box_overall(rounds: DataFrame) -> DataFrame:
-    counts = score_counts(rounds)
-    fences = _fences(counts, [])
-    fence = fences.select(F.struct(*fences.columns)).scalar()
-    return _box(counts.withColumn("_f", fence).select("score", "n", "_f.*"), [])
+    return _box(score_counts(rounds))
 
 
 def score_outliers(rounds: DataFrame) -> DataFrame:
     """The rounds whose score lies outside the whiskers of all scores."""
-    fences = _fences(score_counts(rounds), [])
-    lo, hi = fences.select("_lo").scalar(), fences.select("_hi").scalar()
-    return rounds.where((F.col("score") < lo) | (F.col("score") > hi))
+    limits = _fenced(score_counts(rounds)).agg(F.struct(F.min("_lo").alias("lo"), F.max("_hi").alias("hi"))).scalar()
+    return rounds.where((F.col("score") < limits["lo"]) | (F.col("score") > limits["hi"]))
 
 
 # --- distribution ----------------------------------------------------------

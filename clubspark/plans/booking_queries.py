@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clubspark.operators import bookings, features, player_stats
 from clubspark.plans import domain as D
 from clubspark.plans.registry import hash_sql, query, with_views
+from clubspark.session import materialize
 
 _BOOKED = """
 , booked AS (
@@ -95,17 +96,19 @@ def book_requests(spark: SparkSession, sf: str) -> DataFrame:
     return bookings.book(D.booking_requests(spark, sf), players, rounds, D.weather(spark, sf))
 
 
+def _training_set(spark: SparkSession, sf: str, adjusted: bool = False) -> DataFrame:
+    weather = D.weather_once(spark, sf) if adjusted else D.weather(spark, sf)
+    rounds = D.adjusted_rounds(spark, sf, weather) if adjusted else D.rounds(spark, sf)
+    return features.training_set(rounds, player_stats.handicaps(rounds), weather, D.hot_players(spark, sf))
+
+
 def training(spark: SparkSession, sf: str, adjusted: bool = False) -> DataFrame:
-    rounds = D.adjusted_rounds(spark, sf) if adjusted else D.rounds(spark, sf)
-    return features.training_features(rounds, player_stats.handicaps(rounds), D.weather(spark, sf))
+    return features.complete_rows(features.engineer_features(_training_set(spark, sf, adjusted)))
 
 
 @query("engineer_features", "SELECT * FROM features", ("features",))
 def engineer_features(spark: SparkSession, sf: str) -> DataFrame:
-    rounds = D.rounds(spark, sf)
-    return features.engineer_features(
-        features.training_set(rounds, player_stats.handicaps(rounds), D.weather(spark, sf))
-    )
+    return features.engineer_features(_training_set(spark, sf))
 
 
 @query("training_features", "SELECT * FROM complete", ("complete",))
@@ -121,7 +124,7 @@ _SCALED = ", ".join(
 
 @query("scale_features", f"SELECT round_id, {_SCALED}, wind_precip, weekend FROM complete", ("complete",))
 def scale_features(spark: SparkSession, sf: str) -> DataFrame:
-    frame = training(spark, sf)
+    frame = materialize(training(spark, sf))
     scaled = features.apply_scaler(frame, features.scaler_stats(frame))
     return scaled.select("round_id", *[F.round(c, 6).alias(c) for c in features.SCALED], "wind_precip", "weekend")
 

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clubspark.operators import loading, reshape
+from clubspark.operators import loading, ranking, reshape, scoring
+from clubspark.session import materialize
 
 # Orders from this day on, and players of this segment, have not been loaded yet.
 LOAD_DATE = "1999-01-01"
@@ -21,8 +22,20 @@ WEATHER_YEARS = 22
 TIE_BREAK = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
 
 
+# Declared, so that no query spends a job on reading file footers.
+SCHEMAS = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _round_scores() -> list[Column]:
@@ -63,7 +76,8 @@ def rounds_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def weather_raw(spark: SparkSession, sf_dir: str, since: str | None = None) -> DataFrame:
     """Weather readings, many per day; ``since`` becomes a filter on the stored date column."""
-    li = table(spark, sf_dir, "lineitem")
+    # Shifting whole years keeps the day of the month, so day 13 goes by the stored column.
+    li = table(spark, sf_dir, "lineitem").where(F.dayofmonth("l_shipdate") != 13)
     if since is not None:
         shifted = F.add_months(F.lit(since).cast("date"), -12 * WEATHER_YEARS).cast("timestamp_ntz")
         li = li.where(F.col("l_shipdate") >= shifted)
@@ -76,7 +90,7 @@ def weather_raw(spark: SparkSession, sf_dir: str, since: str | None = None) -> D
         F.when(F.col("l_returnflag") == "R", 0.0).otherwise(rain).alias("prcp"),
         F.when(F.col("l_suppkey") % 41 != 0, F.col("l_quantity") / 2.0).alias("wspd"),
         *TIE_BREAK,
-    ).where(F.dayofmonth("time") != 13)
+    )
 
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,9 +106,7 @@ def weather_f(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weather_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days with weather, from the date column alone."""
     raw = weather_raw(spark, sf_dir, reshape.FIRST_WEATHER_DAY)
-    return raw.select(F.col("time").alias("date")).where(
-        F.col("date") >= F.lit(reshape.FIRST_WEATHER_DAY).cast("date")
-    ).distinct()
+    return raw.select(F.col("time").alias("date")).distinct()
 
 
 def players(spark: SparkSession, sf_dir: str, existing: bool = False) -> DataFrame:
@@ -132,10 +144,20 @@ def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounds_from_orders(table(spark, sf_dir, "orders"), weather_dates(spark, sf_dir))
 
 
-def adjusted_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from clubspark.operators.scoring import adjust_scores
+def hot_players(spark: SparkSession, sf_dir: str) -> list:
+    """Players with a large share of the rounds, judged by their scorecards of four rounds each."""
+    cards = table(spark, sf_dir, "orders").select("o_custkey")
+    return ranking.hot_keys(cards, "o_custkey", min_rows=ranking.HOT_ROWS // len(reshape.ROUND_COLUMNS))
+
+
+def adjusted_rounds(spark: SparkSession, sf_dir: str, days: DataFrame | None = None) -> DataFrame:
+    """Stored rounds with adjusted scores; ``days`` is a weather table already at hand."""
+    return scoring.adjust_scores(rounds(spark, sf_dir), weather(spark, sf_dir) if days is None else days)
+
 
-    return adjust_scores(rounds(spark, sf_dir), weather(spark, sf_dir))
+def weather_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weather table written once, for queries that join it more than once."""
+    return materialize(weather(spark, sf_dir))
 
 
 def requests_from_events(events: DataFrame, customers: DataFrame, kind: str) -> DataFrame:

@@ -100,7 +100,7 @@ WHERE score > 0"""
 def load_rounds(spark: SparkSession, sf: str) -> DataFrame:
     """The scorecards that came in since the last load, as stored rounds."""
     fresh = D.scorecards(spark, sf, loaded=False)
-    out = loading.load_rounds(fresh, D.players(spark, sf), D.weather(spark, sf))
+    out = loading.load_rounds(fresh, D.players(spark, sf), D.weather_once(spark, sf))
     return out.select("round_id", "player_id", "player_name", "round_date", "score")
 
 
@@ -161,7 +161,9 @@ LEFT JOIN (SELECT player_id, {handicap_sql('total', 'n')} AS handicap FROM (
 
 @query("player_stats", PLAYER_STATS_SQL)
 def stats_of_players(spark: SparkSession, sf: str) -> DataFrame:
-    return player_stats.player_stats(D.players(spark, sf), D.adjusted_rounds(spark, sf))
+    return player_stats.player_stats(
+        D.players(spark, sf), D.adjusted_rounds(spark, sf, D.weather_once(spark, sf))
+    )
 
 
 _BY_NAME = with_views("", "rounds_raw", "deltas") + f"""
@@ -275,4 +277,6 @@ def training_set(spark: SparkSession, sf: str) -> DataFrame:
     from clubspark.operators import features
 
     rounds = D.rounds(spark, sf)
-    return features.training_set(rounds, player_stats.handicaps(rounds), D.weather(spark, sf))
+    return features.training_set(
+        rounds, player_stats.handicaps(rounds), D.weather(spark, sf), D.hot_players(spark, sf)
+    )

@@ -141,14 +141,16 @@ SELECT test, n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, r
   round((mean_a - mean_b) / sqrt(e + f), 6) AS t,
   round((e + f) * (e + f) / (e * e / (n_a - 1) + f * f / (n_b - 1)), 4) AS df FROM samples""")
 def welch_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    out = stats.welch(stats.welch_samples(D.adjusted_rounds(spark, sf), D.weather(spark, sf)))
+    weather = D.weather_once(spark, sf)
+    out = stats.welch(stats.welch_samples(D.adjusted_rounds(spark, sf, weather), weather))
     return rounded(out, "mean_a", "mean_b", "std_err", "t").withColumn("df", F.round("df", 4))
 
 
 @query("welch_p_values")
 def welch_p_values(spark: SparkSession, sf: str) -> DataFrame:
     """The eight tests with p value and confidence interval."""
-    return stats.welch_tests(D.adjusted_rounds(spark, sf), D.weather(spark, sf))
+    weather = D.weather_once(spark, sf)
+    return stats.welch_tests(D.adjusted_rounds(spark, sf, weather), weather)
 
 
 @query("corr_handicap_score", """

@@ -13,15 +13,14 @@ from clubspark.streaming import rounds as S
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    schema = D.table(spark, sf, name).schema
-    return S.file_stream(spark, f"{sf}/{name}.parquet*", schema)
+    return S.file_stream(spark, f"{sf}/{name}.parquet*", D.SCHEMAS[name])
 
 
 @query("stream_adjust_scores", with_views("SELECT * FROM adjusted", "adjusted"))
 def stream_adjust_scores(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_folder(spark)
     rounds = D.rounds_from_orders(_stream(spark, sf, "orders"), D.weather_dates(spark, sf))
-    adjusted = S.adjusted_stream(rounds, D.weather(spark, sf))
+    adjusted = S.adjusted_stream(rounds, D.weather_once(spark, sf))
     S.write_table(adjusted, f"{path}/rounds", f"{path}/checkpoint").awaitTermination()
     return spark.read.schema(adjusted.schema).parquet(f"{path}/rounds")
 
@@ -31,7 +30,7 @@ def stream_player_stats(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_folder(spark)
     rounds = D.rounds_from_orders(_stream(spark, sf, "orders"), D.weather_dates(spark, sf))
     state = S.PlayerStatsStream(spark, f"{path}/state")
-    state.start(S.adjusted_stream(rounds, D.weather(spark, sf)), f"{path}/checkpoint").awaitTermination()
+    state.start(S.adjusted_stream(rounds, D.weather_once(spark, sf)), f"{path}/checkpoint").awaitTermination()
     return state.stats(D.players(spark, sf))
 
 

@@ -14,7 +14,7 @@ from clubspark.operators.scoring import adjust_scores
 from clubspark.sources.tables import ParquetTables
 
 
-def file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
+def file_stream(spark: SparkSession, path: str, schema: T.StructType | str, max_files: int | None = None) -> DataFrame:
     """A stream over the parquet files of a folder or glob pattern."""
     reader = spark.readStream.schema(schema)
     if max_files is not None:
