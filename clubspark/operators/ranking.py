@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 HOT_ROWS = 1 << 20
 # ... and at least one row in this many.
 HOT_SHARE = 500
-# Items a frequency sketch tracks per task: bounds what reaches the merge
-# (a few ten KB per task) and finds every key above 1/500 of the rows.
+# Items a frequency sketch tracks: a few ten KB per task, and every key above
+# 1/500 of the rows is found.
 SKETCH_ITEMS = 2048
+# Sketches are merged in this many groups, so no task receives all of them.
+SKETCH_GROUPS = 256
 HOT_LIMIT = 512
 # Pieces follow ranges of 2**20 ids; ids are unique, so no piece is larger.
 CHUNK_BITS = 20
@@ -28,16 +30,32 @@ CHUNK_BITS = 20
 def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS, share: int = HOT_SHARE) -> list:
     """The keys holding at least ``min_rows`` rows and ``1/share`` of all rows.
 
-    One narrow pass with a frequency sketch and no shuffle of rows; at most
-    HOT_LIMIT keys come back.  The sketch only decides which keys are split:
-    results are the same whatever it says.
+    One narrow pass with frequency sketches and no shuffle of rows; at most
+    HOT_LIMIT keys come back.  The sketches only decide which keys are split:
+    results are the same whatever they say.
     """
-    found = df.where(F.col(key).isNotNull()).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.expr(f"approx_top_k(`{key}`, {HOT_LIMIT}, {SKETCH_ITEMS})").alias("top"),
-    ).first()
-    floor = max(min_rows, found["n"] / share)
-    return sorted(item["item"] for item in found["top"] or [] if item["count"] >= floor)
+    sketches = (
+        df.where(F.col(key).isNotNull())
+        .groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("_group"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.expr(f"approx_top_k(`{key}`, {HOT_LIMIT}, {SKETCH_ITEMS})").alias("top"),
+        )
+    )
+    # The total travels along as the entry without a key; it is the largest.
+    total = F.array(F.struct(F.lit(None).cast(df.schema[key].dataType).alias("item"), F.col("n").alias("count")))
+    largest = (
+        sketches.select(F.inline(F.concat(total, "top")))
+        .groupBy("item")
+        .agg(F.sum("count").alias("count"))
+        .orderBy(F.col("count").desc(), F.col("item").asc_nulls_first())
+        .limit(HOT_LIMIT + 1)
+        .collect()
+    )
+    if not largest:
+        return []
+    floor = max(min_rows, largest[0]["count"] / share)
+    return sorted(row["item"] for row in largest[1:] if row["count"] >= floor)
 
 
 def _id_chunk(id_col: str, bits: int) -> Column:

@@ -53,9 +53,10 @@ class PlayerStatsStream:
         return f"round_counts/batch={label}", f"latest_rounds/batch={label}"
 
     def update(self, batch: DataFrame, batch_id: int) -> None:
-        counts, latest = player_stats.summarize(batch)
-        for name, df in zip(self._summaries(str(batch_id)), (counts, latest)):
+        batch = batch.persist()
+        for name, df in zip(self._summaries(str(batch_id)), player_stats.summarize(batch)):
             self.tables.replace(df, name)
+        batch.unpersist()
 
     def start(self, rounds: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
         writer = rounds.writeStream.foreachBatch(self.update).option("checkpointLocation", checkpoint)
