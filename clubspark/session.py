@@ -43,7 +43,7 @@ def shared_folder(spark: SparkSession) -> str:
     The cluster names that folder in ``spark.checkpoint.dir``.  Only a local
     master without the setting falls back to a temporary folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")

@@ -41,3 +41,42 @@ def test_top_rows_are_cut_before_the_shuffle(name, spark, sf):
 @pytest.mark.parametrize("name", ["top_scores", "sample_rows", "top_rounds"])
 def test_top_lists_do_not_sort_everything(name, spark, sf):
     assert "TakeOrderedAndProject" in plan(QUERIES[name](spark, sf))
+
+
+def test_hot_name_is_split_in_the_player_lookup(spark):
+    """A name on a third of the scorecards: adaptive execution cuts its partition, rows stay whole."""
+    from pyspark.sql import functions as F
+
+    from clubspark.operators import loading, reshape
+
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        name = F.concat(F.lit("P"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 4000))
+        cards = spark.range(0, 120000, numPartitions=8).select(
+            F.col("id").alias("scorecard_id"),
+            name.alias("player_name"),
+            *[F.lit(70 + k).alias(c) for k, c in enumerate(reshape.ROUND_COLUMNS)],
+        )
+        players = spark.range(0, 4000).select(
+            F.col("id").alias("player_id"), F.concat(F.lit("P"), F.col("id")).alias("player_name")
+        )
+        known = loading.with_player_id(cards, players)
+        assert known.count() == 120000
+        run = known.where(F.length("player_name") > 0)
+        run.write.format("noop").mode("overwrite").save()
+        rows = run.collect()
+        final = run._jdf.queryExecution().executedPlan().toString()
+        assert len(rows) == 120000 and "isFinalPlan=true" in final and "skew=true" in final
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

@@ -76,7 +76,10 @@ class Session:
         self.sparkContext = self
         self.folder, self.master = folder, master
 
-    def get(self, key, default):
+    def getConf(self):
+        return self
+
+    def get(self, key, default=None):
         return self.folder if key == "spark.checkpoint.dir" and self.folder else default
 
 
