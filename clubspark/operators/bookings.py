@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clubspark.functions import columns as C
 from clubspark.operators.player_stats import round_counts
 from clubspark.operators.ranking import dense_ids
+from clubspark.operators.reshape import to_celsius
 
 # Fixed values of the booking form and of the price list.
 BOOKING_DATES = ("2013-03-01", "2023-02-28")
@@ -65,7 +66,16 @@ def register_players(requests: DataFrame, existing: DataFrame) -> DataFrame:
     )
 
 
-def price(weekday: Column, cart: Column, hour: Column, rain: Column, wind: Column, temp_c: Column, handicap: Column, round_number: Column) -> Column:
+def price(
+    weekday: Column,
+    cart: Column,
+    hour: Column,
+    rain: Column,
+    wind: Column,
+    temp_c: Column,
+    handicap: Column,
+    round_number: Column,
+) -> Column:
     """Price of a tee time; temperature in Celsius.  Null where the inputs are."""
 
     def part(condition: Column, amount: int) -> Column:
@@ -85,16 +95,17 @@ def price(weekday: Column, cart: Column, hour: Column, rain: Column, wind: Colum
 
 
 def booking_features(
-    requests: DataFrame, players: DataFrame, rounds: DataFrame, weather: DataFrame
+    requests: DataFrame, players: DataFrame, rounds: DataFrame, weather: DataFrame, temp_unit: str = "C"
 ) -> DataFrame:
     """Requests with player, handicap, round number, weekday and weather of the day.
 
-    Rounds arrive as counts per player.  Weather is one row per calendar day.
+    Rounds are reduced to counts per player first.  Weather is one row per
+    calendar day; its temperature comes out in Celsius.
     """
     who = players.select(
         F.col("player_name").alias("_name"), "player_id", "handicap"
     ).join(round_counts(rounds), "player_id", "left")
-    days = weather.select(
+    days = to_celsius(weather, temp_unit).select(
         F.col("date").alias("booking_date"),
         "avg_temp",
         "precipitation",
@@ -145,9 +156,11 @@ def tee_time(date: Column, hour: Column) -> Column:
     return date.cast("timestamp_ntz") + F.make_dt_interval(hours=hour)
 
 
-def book(requests: DataFrame, players: DataFrame, rounds: DataFrame, weather: DataFrame) -> DataFrame:
+def book(
+    requests: DataFrame, players: DataFrame, rounds: DataFrame, weather: DataFrame, temp_unit: str = "C"
+) -> DataFrame:
     """Price every valid request and mark the others rejected, with the reason."""
-    priced = price_bookings(booking_features(validate_bookings(requests), players, rounds, weather))
+    priced = price_bookings(booking_features(validate_bookings(requests), players, rounds, weather, temp_unit))
     return priced.select(
         "booking_id",
         "player_id",

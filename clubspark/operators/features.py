@@ -30,8 +30,8 @@ def training_set(
 
 def engineer_features(df: DataFrame, temp_unit: str = "C") -> DataFrame:
     """Add the four engineered columns; unknown values compare false."""
-    celsius = F.col("avg_temp") if temp_unit == "C" else f_to_c(F.col("avg_temp"))
-    rain, wind, temp = F.col("precipitation"), F.col("wind_speed"), celsius
+    rain, wind = F.col("precipitation"), F.col("wind_speed")
+    temp = F.col("avg_temp") if temp_unit == "C" else f_to_c(F.col("avg_temp"))
     return df.withColumns(
         {
             "wind_precip": rain * wind,
@@ -54,6 +54,14 @@ def complete_rows(df: DataFrame) -> DataFrame:
     return df.dropna(subset=["score", *BASE_FEATURES])
 
 
+def training_rejects(df: DataFrame) -> DataFrame:
+    """How many rows :func:`complete_rows` drops, and the unknown cells per column, in one pass."""
+    inputs = ["score", *BASE_FEATURES]
+    unknown = [F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in inputs]
+    kept = F.count(F.when(F.array_contains(F.array(*[F.col(c).isNull() for c in inputs]), True), None).otherwise(1))
+    return df.agg(F.count(F.lit(1)).alias("rows"), kept.alias("kept"), *unknown)
+
+
 def training_features(rounds: DataFrame, handicaps: DataFrame, weather: DataFrame, hot: list | None = None) -> DataFrame:
     return complete_rows(engineer_features(training_set(rounds, handicaps, weather, hot)))
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,10 +78,10 @@ def monthly_trends(rounds: DataFrame) -> DataFrame:
 
 
 def performers_by_conditions(
-    players: DataFrame, rounds: DataFrame, weather: DataFrame, min_rounds: int = 3
+    players: DataFrame, rounds: DataFrame, weather: DataFrame, min_rounds: int = 3, wind_unit: str = "mph"
 ) -> DataFrame:
     """Mean score per player and condition, with at least three rounds."""
-    classes = weather.select("date", C.conditions(F.col("precipitation"), F.col("wind_speed")).alias("conditions"))
+    classes = convert_units(weather, wind_unit=wind_unit).select("date", C.conditions(F.col("precipitation"), F.col("wind_speed")).alias("conditions"))
     per_player = (
         _by_date(rounds.select("player_id", "round_date", "score"), classes)
         .groupBy("player_id", "conditions")
@@ -119,7 +117,10 @@ def score_by_weekday(rounds: DataFrame, best_first: bool = True) -> DataFrame:
     """Mean score per weekday."""
     mean = F.col("avg_score")
     return (
-        rounds.groupBy(C.weekday_int(F.col("round_date")).alias("day_of_week_int"), C.weekday_name(F.col("round_date")).alias("day_of_week"))
+        rounds.groupBy(
+            C.weekday_int(F.col("round_date")).alias("day_of_week_int"),
+            C.weekday_name(F.col("round_date")).alias("day_of_week"),
+        )
         .agg(F.avg("score").alias("avg_score"))
         .orderBy(mean.asc() if best_first else mean.desc(), "day_of_week_int")
     )
@@ -264,7 +265,3 @@ def top_round_counts(rounds: DataFrame, n: int = 15) -> DataFrame:
         F.col("round_number").desc(),
         F.col("player_id").asc(),
     )
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.union, frames)

@@ -116,6 +116,13 @@ def training_features(spark: SparkSession, sf: str) -> DataFrame:
     return training(spark, sf)
 
 
+@query("training_rejects", """
+SELECT count(*) AS rows, (SELECT count(*) FROM complete) AS kept, """ + ", ".join(
+    f"count(*) - count({c}) AS {c}" for c in ["score", *features.BASE_FEATURES]) + " FROM training", ("training", "complete"))
+def training_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    return features.training_rejects(_training_set(spark, sf))
+
+
 _SCALED = ", ".join(
     f"round(({c} - (SELECT avg({c}) FROM complete)) / (SELECT stddev_pop({c}) FROM complete), 6) AS {c}"
     for c in features.SCALED

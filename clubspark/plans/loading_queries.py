@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clubspark.operators import loading, player_stats, quality, ranking
+from clubspark.operators import loading, player_stats, quality, reshape
 from clubspark.operators import reports as R
-from clubspark.operators import reshape
 from clubspark.plans import domain as D
 from clubspark.plans.registry import differential_sql, handicap_sql, query, with_views
 from clubspark.session import shared_folder
