@@ -88,11 +88,16 @@ def _eighths(rows: DataFrame) -> DataFrame:
 
 
 def linked_roots(fps: np.ndarray, distance: int) -> np.ndarray:
-    """For each of a block's fingerprints, the smallest one of its component in the block."""
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= distance
-    root = np.arange(len(fps))
+    """For each of a block's fingerprints, the place of the first one of its component in the block."""
+    n = len(fps)
+    near = np.empty((n, n), bool)
+    for at in range(0, n, 128):  # no large matrix of numbers
+        near[at : at + 128] = np.bitwise_count(fps[at : at + 128, None] ^ fps[None, :]) <= distance
+    root = np.arange(n, dtype=np.int32)
     while True:
-        low = np.where(near, root[None, :], len(fps)).min(axis=1)
+        low = np.empty_like(root)
+        for at in range(0, n, 128):
+            low[at : at + 128] = np.where(near[at : at + 128], root[None, :], n).min(axis=1)
         low = low[low]
         if (low == root).all():
             return root
