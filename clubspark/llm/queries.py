@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clubspark.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from clubspark.llm import bpe, exact_dedup, mixing, quality, secret_scan, simhash, toxicity, urls
 from clubspark.llm.common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs, copy="copy_number")
@@ -19,10 +24,29 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    spans = F.transform(
+        F.arrays_zip("kinds", "starts", "ends"), lambda s: F.concat_ws(":", s["kinds"], s["starts"], s["ends"])
+    )
+    base = F.filter(spans, lambda s: F.split_part(s, F.lit(":"), F.lit(1)).isin([r.kind for r in secret_scan.BASE]))
+    counts = [F.expr(f"CAST(size(filter(kinds, k -> k = '{r.kind}')) AS BIGINT) AS n_{r.kind}") for r in secret_scan.BASE]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
+        F.array_join(spans, ",").alias("spans"),
+    )
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,17 +73,66 @@ counted AS (
 SELECT * EXCLUDE (u, n, copy_number), CAST(copy_number AS INTEGER) AS copy_number
 FROM (SELECT *, unnest(range(1, n + 1)) AS copy_number FROM counted)"""
 
+_URL = r"""regexp_extract(coalesce(URL, ''), '(?s)^.*?://([^/?#]*)', 1)"""
+_PATH = r"""regexp_extract(coalesce(URL, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"""
+_CANONICAL = rf"""('//' || translate({_URL}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+    || regexp_replace({_PATH}, '(/index)?(\.html?)?/*$', '')
+    || coalesce('?' || nullif(array_to_string(list_filter(
+      string_split(regexp_extract(URL, '(?s)^[^?#]*\?([^#]*)', 1), '&'),
+      lambda part: NOT regexp_matches(part, '^({urls.TRACKING})(=|$)')), '&'), ''), ''))"""
+_FITS = " ".join(
+    f"WHEN (HOST = '{h}' OR ends_with(HOST, '.{h}')) AND starts_with(PATH, '{p}') THEN '{v}:{h}{p}'"
+    for h, p, v in sorted(urls.RULES, key=lambda r: -len(r[0]) - len(r[1]))
+)
+_OP6 = rf"""
+WITH RECURSIVE rows AS (
+  SELECT page_id, translate({_URL.replace('URL', 'url')}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    {_PATH.replace('URL', 'url')} AS path, CASE WHEN contains(url, '://') THEN {_CANONICAL.replace('URL', 'url')} END AS spelling,
+    coalesce(html, '') AS html FROM pages),
+tags AS (
+  SELECT spelling, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\s[^>]*>')) AS tag FROM rows WHERE spelling IS NOT NULL),
+targets AS (
+  SELECT spelling, regexp_extract(tag,
+    '(?is)(?:href|content)\s*=\s*["'']?(?:\s*\d+\s*;\s*url\s*=\s*["'']?)?([a-z][a-z0-9+.-]*://[^"''\s>]+)', 1) AS target
+  FROM tags WHERE regexp_matches(lower(tag),
+    '(?s)rel\s*=\s*["'']?canonical|http-equiv\s*=\s*["'']?refresh|property\s*=\s*["'']?og:url')),
+edges AS (SELECT spelling AS u, {_CANONICAL.replace('URL', 'target')} AS v FROM targets WHERE target <> ''),
+both_ways AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
+reach AS (SELECT u AS node, u AS r FROM both_ways UNION SELECT v, r FROM reach JOIN both_ways ON node = u),
+roots AS (SELECT node, min(r) AS root FROM reach GROUP BY node),
+owned AS (
+  SELECT page_id, host, path, coalesce(root, spelling) AS root,
+    CASE {_FITS.replace('HOST', 'host').replace('PATH', 'path')} END AS own FROM rows LEFT JOIN roots ON node = spelling),
+named AS (
+  SELECT root, {_URL.replace('URL', "('x:' || node)")} AS host, {_PATH.replace('URL', "('x:' || node)")} AS path FROM roots),
+said AS (
+  SELECT root, own FROM owned WHERE root IS NOT NULL
+  UNION ALL SELECT root, CASE {_FITS.replace('HOST', 'host').replace('PATH', 'path')} END FROM named),
+classes AS (
+  SELECT root, bool_or(starts_with(own, 'allow')) AS allowed, bool_or(starts_with(own, 'block')) AS blocked
+  FROM said WHERE own IS NOT NULL GROUP BY root)
+SELECT page_id, host, path, split_part(own, ':', 2) AS rule,
+  coalesce(split_part(own, ':', 1), CASE WHEN blocked AND NOT allowed THEN 'block' ELSE 'allow' END) AS verdict, owned.root
+FROM owned LEFT JOIN classes ON owned.root = classes.root"""
+
 _OP9 = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
   doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_mix_sources": op2_mix_sources,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_secrets": op4_secrets,
     "op5_bpe": op5_bpe,
+    "op6_url_filter": op6_url_filter,
     "op7_toxicity": op7_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
-ORACLES: dict[str, str] = {"op2_mix_sources": _OP2, "op9_exact_dedup": _OP9}
+ORACLES: dict[str, str] = {
+    "op2_mix_sources": _OP2,
+    "op6_url_filter": _OP6,
+    "op9_exact_dedup": _OP9,
+}
