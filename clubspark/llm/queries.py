@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clubspark.llm import bpe, exact_dedup, mixing, quality, secret_scan, simhash, toxicity, urls
+from clubspark.llm import bpe, exact_dedup, mixing, quality, repeats, secret_scan, simhash, toxicity, urls
 from clubspark.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 _OP2 = f"""
 WITH sizes AS (
   SELECT source, CAST(sum(coalesce(strlen(text), 0) + 1) AS DOUBLE) AS size FROM documents GROUP BY source),
@@ -129,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filter": op6_url_filter,
     "op7_toxicity": op7_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_repeated_passages": op10_repeated_passages,
 }
 
 ORACLES: dict[str, str] = {
