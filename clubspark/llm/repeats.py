@@ -388,7 +388,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, block: int = BLOCK) ->
     frequent = materialize(edges.groupBy("anchor").count().where(F.col("count") > block).select("anchor", F.lit(True).alias("hot")))
     flagged = edges.join(small(frequent), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     per_text = materialize(flagged.groupBy("rid").agg(F.collect_list(F.struct("anchor", "at", "hot")).alias("edges")))
-    opened = materialize(rows.select("rid", "text").join(small(per_text, 100_000), "rid").mapInArrow(_contexts(length), _CONTEXT))
+    opened = materialize(rows.select("rid", "text").join(per_text, "rid").mapInArrow(_contexts(length), _CONTEXT))
     cold = opened.where("NOT hot").select("anchor", "rid", "at", "bytes")
     second = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_factors(length), _ROWS)
     hot = opened.where("hot").select(F.lit(False).alias("span"), "anchor", "key", "rid", "at")
