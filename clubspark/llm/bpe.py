@@ -39,17 +39,23 @@ class TrieEncoder:
         self.vocab: dict[str, int] = model["model"]["vocab"]
         self.end: str = model["model"]["end_of_word_suffix"] or ""
         self.ranks = {tuple(pair): rank for rank, pair in enumerate(model["model"]["merges"])}
-        #: Longest token that ends in the given three symbols (the word end counts as none of them).
-        self.reach: dict[tuple[str, str], int] = {}
+        #: Lengths of the tokens of five symbols or more by their last five, longest first; without and with the word end.
+        self.lengths: tuple[dict[str, tuple[int, ...]], dict[str, tuple[int, ...]]] = ({}, {})
         for token in self.vocab:
-            ended = self.end if self.end and token.endswith(self.end) and token != self.end else ""
-            body = token.removesuffix(ended)
-            key = (body[-3:], ended)
-            self.reach[key] = max(self.reach.get(key, 2), len(body))
+            ended = bool(self.end) and token.endswith(self.end) and token != self.end
+            body = token.removesuffix(self.end) if ended else token
+            if len(body) >= 5:
+                found = {len(body), *self.lengths[ended].get(body[-5:], ())}
+                self.lengths[ended][body[-5:]] = tuple(sorted(found, reverse=True))
+        self.split = {a + b: (a, b, rank) for (a, b), rank in self.ranks.items()}
+        if len(self.split) < len(self.ranks):
+            raise ValueError("two merges make the same token")
         self.names = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self._follows: dict[tuple[str, str], bool] = {}
         self._symbols: dict[str, list[str]] = {}
+        self._spines: dict[tuple[str, int], list[tuple[str, float]]] = {}
+        self._stable: dict[str, bool] = {}
 
     def symbols(self, token: str) -> list[str]:
         found = self._symbols.get(token)
@@ -71,28 +77,69 @@ class TrieEncoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def stable(self, token: str) -> bool:
+        """Whether the token is the encoding of its own symbols."""
+        found = self._stable.get(token)
+        if found is None:
+            found = self._stable[token] = self.merged(self.symbols(token)) == [token]
+        return found
+
+    def spine(self, token: str, side: int) -> list[tuple[str, float]]:
+        """The parts that grow into the token at its left (0) or right (1) end, each with the rank of its next merge."""
+        found = self._spines.get((token, side))
+        if found is None:
+            found, part, rank = [(token, float("inf"))], token, float("inf")
+            while part in self.split:
+                rank = self.split[part][2]
+                part = self.split[part][side]
+                found.append((part, rank))
+            found.reverse()
+            self._spines[token, side] = found
+        return found
+
     def follows(self, before: str, token: str) -> bool:
+        """Whether the two, side by side, are the encoding of their symbols.
+
+        Parts grow on both sides of the border in the order of ranks; they stay apart if the pair
+        across it never comes first.  Of equal ranks the leftmost merges first.
+        """
+        if not before:
+            return self.stable(token)
         key = (before, token)
         found = self._follows.get(key)
         if found is None:
-            if len(self._follows) > 2_000_000:
+            if len(self._follows) > 1_000_000:
                 self._follows.clear()
-            expected = [before, token] if before else [token]
-            found = self.merged((self.symbols(before) if before else []) + self.symbols(token)) == expected
+            found = self.stable(token) and self._apart(self.spine(before, 1), self.spine(token, 0))
             self._follows[key] = found
         return found
 
-    def last_token(self, path: str, at: int, last: list[str], suffix: str) -> str:
+    def _apart(self, left: list[tuple[str, float]], right: list[tuple[str, float]]) -> bool:
+        i = j = 0
+        while True:
+            (a, after_a), (b, after_b) = left[i], right[j]
+            rank = self.ranks.get((a, b))
+            if rank is not None and rank < after_a and rank <= after_b:
+                return False
+            if after_a <= after_b:
+                if i + 1 == len(left):
+                    return True
+                i += 1
+            else:
+                j += 1
+
+    def last_token(self, path: str, at: int, last: list[str], ended: bool) -> str:
         """The last token of path[:at], given the states of all shorter prefixes."""
-        body, vocab, known = path[:at], self.vocab, self._follows
-        for start in range(max(0, at - self.reach.get((body[-3:], suffix), 2)), at):
-            token = body[start:] + suffix
-            if token in vocab:
-                before = last[start]
-                fits = known.get((before, token))
-                if fits or fits is None and self.follows(before, token):
-                    return token
-        raise ValueError(f"no token ends {path[:at]!r}")
+        body, vocab, known, suffix = path[:at], self.vocab, self._follows, self.end if ended else ""
+        for length in (*self.lengths[ended].get(body[-5:], ()), 4, 3, 2, 1):
+            if length <= at:
+                token = body[at - length :] + suffix
+                if token in vocab:
+                    before = last[at - length]
+                    fits = known.get((before, token))
+                    if fits or fits is None and self.follows(before, token):
+                        return token
+        raise ValueError(f"no token ends {body!r}")
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[str]]:
         """The tokens of each distinct word."""
@@ -104,8 +151,8 @@ class TrieEncoder:
                 shared += 1
             del last[shared + 1 :]
             for at in range(shared + 1, len(word)):
-                last.append(self.last_token(word, at, last, ""))
-            token, at, tokens = self.last_token(word, len(word), last, self.end), len(word), []
+                last.append(self.last_token(word, at, last, False))
+            token, at, tokens = self.last_token(word, len(word), last, True), len(word), []
             while token:
                 tokens.append(token)
                 at -= len(self.symbols(token))
