@@ -87,12 +87,16 @@ def _eighths(rows: DataFrame) -> DataFrame:
     return spread.select("k1", key.alias("k2"), "fp")
 
 
+def bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((a ^ b).view(np.uint64))  # of signed numbers it would count the bits of the absolute value
+
+
 def linked_roots(fps: np.ndarray, distance: int) -> np.ndarray:
     """For each of a block's fingerprints, the place of the first one of its component in the block."""
     n = len(fps)
     near = np.empty((n, n), bool)
     for at in range(0, n, 128):  # no large matrix of numbers
-        near[at : at + 128] = np.bitwise_count(fps[at : at + 128, None] ^ fps[None, :]) <= distance
+        near[at : at + 128] = bits_apart(fps[at : at + 128, None], fps[None, :]) <= distance
     root = np.arange(n, dtype=np.int32)
     while True:
         low = np.empty_like(root)
@@ -120,7 +124,7 @@ def _compare(distance: int, block: int):
         new = np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))
         sizes = np.diff(new, append=len(fp))
         first = new[sizes == 2]
-        first = first[np.bitwise_count(fp[first] ^ fp[first + 1]) <= distance]
+        first = first[bits_apart(fp[first], fp[first + 1]) <= distance]
         us, vs = [fp[first]], [fp[first + 1]]
         for at, size in zip(new[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
             part = fp[at : at + size]
