@@ -101,9 +101,12 @@ class Model:
         return self.scale * score - self.log_k - np.log(max(n, 1))
 
     def summary(self, best: float, found: list[float], n: int) -> tuple[float, float]:
-        """What is calibrated: the normalised best score, and the logarithm of the number of passages."""
+        """What is calibrated: the normalised best score, and the logarithm of the number of passages.
+
+        A best segment that chance explains counts as none, so a text is not suspect for being short.
+        """
         passages = sum(self.normalised(s, n) >= -np.log(EXPECTED) for s in found)
-        return float(np.clip(self.normalised(best, n), -30, 30)), float(np.log1p(passages))
+        return float(np.clip(self.normalised(best, n), 0, 30)) if best > 0 else 0.0, float(np.log1p(passages))
 
     def row(self, text: bytes) -> tuple[tuple[float, float], list[tuple[int, int, float]]]:
         """The summary, and the significant passages."""
