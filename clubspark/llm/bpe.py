@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -16,6 +17,8 @@ from clubspark.llm.common import each_text, texts
 #: Encoded words that a Python worker keeps at most before it starts anew.
 CACHE = 400_000
 
+_SHORT = (4, 3, 2, 1)
+
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
@@ -39,13 +42,13 @@ class TrieEncoder:
         self.vocab: dict[str, int] = model["model"]["vocab"]
         self.end: str = model["model"]["end_of_word_suffix"] or ""
         self.ranks = {tuple(pair): rank for rank, pair in enumerate(model["model"]["merges"])}
-        #: Lengths of the tokens of five symbols or more by their last five, longest first; without and with the word end.
+        #: Lengths that a token may have by its last five symbols, longest first; without and with the word end.
         self.lengths: tuple[dict[str, tuple[int, ...]], dict[str, tuple[int, ...]]] = ({}, {})
         for token in self.vocab:
             ended = bool(self.end) and token.endswith(self.end) and token != self.end
             body = token.removesuffix(self.end) if ended else token
             if len(body) >= 5:
-                found = {len(body), *self.lengths[ended].get(body[-5:], ())}
+                found = {len(body), *self.lengths[ended].get(body[-5:], _SHORT)}
                 self.lengths[ended][body[-5:]] = tuple(sorted(found, reverse=True))
         self.split = {a + b: (a, b, rank) for (a, b), rank in self.ranks.items()}
         if len(self.split) < len(self.ranks):
@@ -128,36 +131,41 @@ class TrieEncoder:
             else:
                 j += 1
 
-    def last_token(self, path: str, at: int, last: list[str], ended: bool) -> str:
-        """The last token of path[:at], given the states of all shorter prefixes."""
-        body, vocab, known, suffix = path[:at], self.vocab, self._follows, self.end if ended else ""
-        for length in (*self.lengths[ended].get(body[-5:], ()), 4, 3, 2, 1):
-            if length <= at:
-                token = body[at - length :] + suffix
-                if token in vocab:
-                    before = last[at - length]
-                    fits = known.get((before, token))
-                    if fits or fits is None and self.follows(before, token):
-                        return token
-        raise ValueError(f"no token ends {body!r}")
-
     def encode_words(self, words: Iterable[str]) -> dict[str, list[str]]:
         """The tokens of each distinct word."""
         done: dict[str, list[str]] = {}
+        vocab, known, follows = self.vocab, self._follows, self.follows
         last, before = [""], ""  # last[i]: the state of the prefix of i symbols on the current path
         for word in sorted(set(words)):
-            shared, most = 0, min(len(before), len(word) - 1, len(last) - 1)
+            shared, size = 0, len(word)
+            most = min(len(before), size - 1, len(last) - 1)
             while shared < most and before[shared] == word[shared]:
                 shared += 1
             del last[shared + 1 :]
-            for at in range(shared + 1, len(word)):
-                last.append(self.last_token(word, at, last, False))
-            token, at, tokens = self.last_token(word, len(word), last, True), len(word), []
+            for at in range(shared + 1, size + 1):
+                body = word[:at]
+                ended = at == size
+                for length in self.lengths[ended].get(body[-5:], _SHORT):
+                    if length > at:
+                        continue
+                    token = body[at - length :]
+                    if ended:
+                        token += self.end
+                    if token in vocab:
+                        pair = (last[at - length], token)
+                        fits = known.get(pair)
+                        if fits or fits is None and follows(*pair):
+                            break
+                else:
+                    raise ValueError(f"no token ends {body!r}")
+                last.append(token)
+            token, at, tokens = last.pop(), size, []
             while token:
                 tokens.append(token)
                 at -= len(self.symbols(token))
                 token = last[at]
-            done[word] = tokens[::-1]
+            tokens.reverse()
+            done[word] = tokens
             before = word
         return done
 
@@ -177,10 +185,18 @@ class TrieEncoder:
             found += [(True, piece)] if piece in self.special else [(False, w) for w in self.words(piece)]
         return found
 
-    def encode_chunks(self, chunks: Iterable[bytes]) -> dict[bytes, list[str]]:
+    def encode_chunks(self, chunks: Iterable[bytes], words: dict[str, list[str]] | None = None) -> dict[bytes, list[str]]:
+        """The tokens of each chunk; words: those known already, to which new ones are added."""
         parts = {c: self.parts(c) for c in chunks}
-        words = self.encode_words(w for found in parts.values() for special, w in found if not special)
-        return {c: [t for special, w in found for t in ([w] if special else words[w])] for c, found in parts.items()}
+        words = {} if words is None else words
+        words |= self.encode_words(w for found in parts.values() for special, w in found if not special and w not in words)
+        out = {}
+        for chunk, found in parts.items():
+            if len(found) == 1 and not found[0][0]:
+                out[chunk] = words[found[0][1]]
+            else:
+                out[chunk] = [t for special, w in found for t in ([w] if special else words[w])]
+        return out
 
     def encode(self, text: str) -> list[int]:
         chunks = text.encode().split()
@@ -193,13 +209,14 @@ class TrieEncoder:
 
 
 #: Encoder and encoded words of the vocabulary a Python worker has used last; tasks that follow go on with it.
-_WORKER: dict[str, tuple[TrieEncoder, dict[bytes, tuple[bytes, int, bytes]]]] = {}
+State = tuple[TrieEncoder, dict[bytes, tuple[bytes, int, bytes]], dict[str, list[str]]]
+_WORKER: dict[str, State] = {}
 
 
-def worker_state(spec: str) -> tuple[TrieEncoder, dict[bytes, tuple[bytes, int, bytes]]]:
+def worker_state(spec: str) -> State:
     if spec not in _WORKER:
         _WORKER.clear()
-        _WORKER[spec] = (TrieEncoder(spec), {})
+        _WORKER[spec] = (TrieEncoder(spec), {}, {})
     return _WORKER[spec]
 
 
@@ -207,22 +224,25 @@ def _encode(shared, cache_size: int, outputs: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from clubspark.llm import bpe  # the module of the worker, whose state outlives the task
 
-        encoder, cache = bpe.worker_state(shared.value)
-        ids_of = {**encoder.vocab, **encoder.special}
+        gc.disable()  # caches of many small lists and no cycles: each collection would walk all of them
+        encoder, cache, words = bpe.worker_state(shared.value)
+        ids_of = {t: str(i) for t, i in [*encoder.vocab.items(), *encoder.special.items()]}
         for doc_ids, bodies in each_text(batches):
             split = [b.split() for b in bodies]
-            if len(cache) > cache_size:
-                cache.clear()
+            for known in (cache, words):
+                if len(known) > cache_size:
+                    known.clear()
             new = [c for c in set().union(*split) if c not in cache]
-            for chunk, tokens in encoder.encode_chunks(new).items():
-                numbers = b" ".join(b"%d" % ids_of[t] for t in tokens)
+            for chunk, tokens in encoder.encode_chunks(new, words).items():
+                numbers = " ".join([ids_of[t] for t in tokens]).encode()
                 cache[chunk] = (numbers, len(tokens), " ".join(tokens).encode())
             counts, digests, decoded, lists = [], [], [], []
             for chunks in split:
-                found = [x for x in map(cache.__getitem__, chunks) if x[1]]
-                numbers = b" ".join([x[0] for x in found])
-                back = b" ".join([x[2] for x in found])
-                counts.append(sum([x[1] for x in found]))
+                parts, sizes, names = zip(*map(cache.__getitem__, chunks), strict=True) if chunks else ((), (), ())
+                if 0 in sizes:  # chunks that the normaliser empties
+                    parts, names = filter(None, parts), filter(None, names)
+                numbers, back = b" ".join(parts), b" ".join(names)
+                counts.append(sum(sizes))
                 if outputs:
                     lists.append(list(map(int, numbers.split())))
                     decoded.append(back.decode())
@@ -232,6 +252,7 @@ def _encode(shared, cache_size: int, outputs: bool):
             middle = pa.array(lists, pa.list_(pa.int32())) if outputs else pa.array(digests, pa.string())
             arrays = [doc_ids, pa.array(counts, pa.int64()), middle, pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids", "decoded"])
+        gc.enable()
 
     return run
 
