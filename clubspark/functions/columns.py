@@ -14,14 +14,13 @@ def idiv(a: Column, b: Column | int) -> Column:
 
 
 def portable_hash(x: Column, seed: int = 0) -> Column:
-    """Repeatable value 0..32767 from an id: the stand-in for a random draw.
+    """Repeatable value below 2**60 from an id and a seed: the stand-in for a random draw.
 
-    Plain 64-bit arithmetic, so a rerun, another engine or another cluster
-    draws the same; the inner modulo keeps it clear of overflow.
+    The first 15 hex digits of an MD5, so a rerun, another engine or another cluster draws
+    the same, neighbouring ids draw independently and so do different seeds.
     """
-    m = F.lit(2147483648).cast("bigint")
-    shifted = (x.cast("bigint") + F.lit(seed * 7919).cast("bigint")) % m
-    return idiv((shifted * F.lit(1103515245).cast("bigint") + F.lit(12345).cast("bigint")) % m, 65536)
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), x.cast("bigint").cast("string")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
 # --- units -----------------------------------------------------------------

@@ -99,12 +99,12 @@ def booking_features(
 ) -> DataFrame:
     """Requests with player, handicap, round number, weekday and weather of the day.
 
-    Rounds are reduced to counts per player first.  Weather is one row per
+    Rounds are reduced to counts per player first, unless they are (player_id, rounds) already.  Weather is one row per
     calendar day; its temperature comes out in Celsius.
     """
     who = players.select(
         F.col("player_name").alias("_name"), "player_id", "handicap"
-    ).join(round_counts(rounds), "player_id", "left")
+    ).join(rounds if "rounds" in rounds.columns else round_counts(rounds), "player_id", "left")
     days = to_celsius(weather, temp_unit).select(
         F.col("date").alias("booking_date"),
         "avg_temp",

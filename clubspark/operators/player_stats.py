@@ -48,8 +48,8 @@ def merge_counts(counts: DataFrame) -> DataFrame:
 def handicaps_from_latest(latest: DataFrame) -> DataFrame:
     """(player_id, handicap) from at most 20 rounds per player."""
     per_player = latest.groupBy("player_id").agg(
-        F.sum(differential_tenths(F.col("score"))).alias("_total"), F.count(F.lit(1)).alias("_n")
-    )
+        F.sum(differential_tenths(F.col("score"))).alias("_total"), F.nullif(F.count("score"), F.lit(0)).alias("_n")
+    )  # as a mean passes over nulls, so does the count; without any score there is no handicap
     return per_player.select(
         "player_id", (handicap_tenths(F.col("_total"), F.col("_n")) / F.lit(10.0)).alias("handicap")
     )

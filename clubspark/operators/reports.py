@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clubspark.functions import columns as C
 from clubspark.operators.player_stats import round_counts
-from clubspark.operators.ranking import top_rows
+from clubspark.operators.ranking import latest_rounds, top_rows
 from clubspark.operators.reshape import convert_units
 
 HISTOGRAM_BINS = 30
@@ -52,7 +52,11 @@ def weather_impact(rounds: DataFrame, weather: DataFrame, temp_unit: str = "C",
     scan stage); days then meet their weather, a few thousand rows on each side.
     """
     days = rounds.groupBy("round_date").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"), F.min("score").alias("lo"), F.max("score").alias("hi")
+        F.count(F.lit(1)).alias("n"),
+        F.count("score").alias("scored"),
+        F.sum("score").alias("total"),
+        F.min("score").alias("lo"),
+        F.max("score").alias("hi"),
     )
     fahrenheit = convert_units(weather, temp_unit, wind_unit)
     category = C.weather_category(F.col("precipitation"), F.col("wind_speed"), F.col("avg_temp"))
@@ -61,7 +65,7 @@ def weather_impact(rounds: DataFrame, weather: DataFrame, temp_unit: str = "C",
         .groupBy("weather_category")
         .agg(
             F.sum("n").cast("bigint").alias("rounds_played"),
-            (F.sum("total") / F.sum("n")).alias("avg_score"),
+            (F.sum("total") / F.nullif(F.sum("scored"), F.lit(0))).alias("avg_score"),
             F.min("lo").alias("best_score"),
             F.max("hi").alias("worst_score"),
         )
@@ -181,9 +185,10 @@ def last_round_per_player(rounds: DataFrame) -> DataFrame:
     The number of the last round is the round count, so no player's rounds
     need to be ranked.
     """
-    latest = F.max_by(F.struct("round_id", "round_date", "score"), F.struct("round_date", "round_id"))
-    return rounds.groupBy("player_id").agg(F.count(F.lit(1)).alias("round_number"), latest.alias("r")).select(
-        "player_id", "round_number", "r.*"
+    latest = latest_rounds(rounds.select("player_id", "round_id", "round_date", "score"), 1)
+    counts = round_counts(rounds).withColumnRenamed("rounds", "round_number")
+    return latest.join(counts, latest["player_id"].eqNullSafe(counts["player_id"])).select(
+        latest["player_id"], "round_number", "round_id", "round_date", "score"
     )
 
 

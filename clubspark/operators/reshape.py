@@ -76,7 +76,7 @@ def assign_dates(rounds: DataFrame, seed: int = 0, id_col: str = "round_id") ->
 def weighted_calendar(spark: SparkSession) -> DataFrame:
     """(slot, date): every day of the calendar, weekend days several times.
 
-    The calendar is fixed, so the table has a fixed number of rows (3,500 or so).
+    The calendar is fixed, so the table has a fixed number of rows (3,791).
     """
     first, last = (F.lit(d).cast("date") for d in WEIGHTED_CALENDAR)
     day = F.explode(F.sequence(first, last)).alias("date")

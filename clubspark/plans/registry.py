@@ -21,7 +21,7 @@ _UNPIVOT = "CASE k WHEN 1 THEN r1 WHEN 2 THEN r2 WHEN 3 THEN r3 ELSE r4 END"
 
 
 def hash_sql(x: str, seed: int) -> str:
-    return f"((((({x} + {seed * 7919}) % 2147483648) * 1103515245 + 12345) % 2147483648) // 65536)"
+    return f"CAST('0x' || substr(md5(concat('{seed}:', CAST(CAST({x} AS BIGINT) AS VARCHAR))), 1, 15) AS BIGINT)"
 
 
 def date_sql(x: str) -> str:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from clubspark.operators.player_stats import round_counts
 from clubspark.plans import domain as D
 from clubspark.plans.booking_queries import BOOK_SQL, _stats
 from clubspark.plans.loading_queries import PLAYER_STATS_SQL
 from clubspark.plans.registry import query, with_views
-from clubspark.session import shared_folder
+from clubspark.session import materialize, shared_folder
 from clubspark.streaming import rounds as S
 
 
@@ -36,9 +38,16 @@ def stream_player_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("stream_bookings", BOOK_SQL)
 def stream_bookings(spark: SparkSession, sf: str) -> DataFrame:
+    """One file and micro-batch after the other, earlier requests in later ones, and some requests twice."""
     path = shared_folder(spark)
     players, rounds = _stats(spark, sf)
-    asked = D.requests_from_events(_stream(spark, sf, "events"), D.table(spark, sf, "customer"), "purchase")
-    booked = S.booking_stream(asked.drop("handicap", "player_id"), players, rounds, D.weather(spark, sf))
-    S.write_table(booked, f"{path}/bookings", f"{path}/checkpoint").awaitTermination()
-    return spark.read.schema(booked.schema).parquet(f"{path}/bookings")
+    players, counts = materialize(players), materialize(round_counts(rounds))
+    events = D.table(spark, sf, "events")
+    for part in range(3):
+        sent = events.where((F.col("event_id") % 3 == 2 - part) | (F.col("event_id") % 10 == part))
+        sent.coalesce(1).write.mode("append").parquet(f"{path}/events")
+    arriving = S.file_stream(spark, f"{path}/events", D.SCHEMAS["events"], max_files=1)
+    asked = D.requests_from_events(arriving, D.table(spark, sf, "customer"), "purchase")
+    booked = S.BookingStream(spark, f"{path}/state", players, counts, D.weather_once(spark, sf))
+    booked.start(asked.drop("handicap", "player_id"), f"{path}/checkpoint").awaitTermination()
+    return booked.bookings()

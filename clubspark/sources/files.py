@@ -44,8 +44,8 @@ def _matches(spark: SparkSession, pattern: str) -> list[str]:
 def discover(
     spark: SparkSession,
     folder: str,
-    scorecards: str = "golf*.csv",
-    weather: str = "boston_weather_data.csv",
+    scorecards: str = "scorecards*.csv",
+    weather: str = "weather*.csv",
     first_only: bool = False,
 ) -> tuple[list[str] | None, list[str] | None]:
     """Input files per family; (None, None) unless both families are present."""

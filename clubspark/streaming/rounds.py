@@ -49,14 +49,18 @@ class PlayerStatsStream:
         self.spark = spark
         self.tables = ParquetTables(spark, root)
 
-    def _summaries(self, label: str) -> tuple[str, str]:
+    @staticmethod
+    def _summaries(label: str) -> tuple[str, str]:
         return f"round_counts/batch={label}", f"latest_rounds/batch={label}"
 
-    def update(self, batch: DataFrame, batch_id: int) -> None:
+    def update(self, batch: DataFrame, batch_id: int, source: str = "stream") -> None:
+        """Keep the summaries of a batch; batches of different sources may have the same number."""
         batch = batch.persist()
-        for name, df in zip(self._summaries(str(batch_id)), player_stats.summarize(batch)):
-            self.tables.replace(df, name)
-        batch.unpersist()
+        try:
+            for name, df in zip(self._summaries(f"{source}-{batch_id}"), player_stats.summarize(batch)):
+                self.tables.replace(df, name)
+        finally:
+            batch.unpersist()
 
     def start(self, rounds: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
         writer = rounds.writeStream.foreachBatch(self.update).option("checkpointLocation", checkpoint)
@@ -86,12 +90,34 @@ class PlayerStatsStream:
         return copy
 
 
-def booking_stream(requests: DataFrame, players: DataFrame, rounds: DataFrame, weather: DataFrame, keep: str = "7 days") -> DataFrame:
-    """Price and confirm or reject booking requests as they arrive.
+class BookingStream:
+    """Prices and confirms or rejects booking requests as they arrive, each booking_id once.
 
-    Players, round counts and weather are static sides; a request sent twice
-    within ``keep`` is booked once.
+    A request is answered however late it comes.  Of a micro-batch one row per id is kept, ids booked by other
+    batches are left out, and the rest is written below the batch number, so a repeated
+    batch replaces itself.  Players with handicap, round counts (player_id, rounds) and weather are static sides.
     """
-    timed = requests.withColumn("_event_time", F.col("booking_time").cast("timestamp"))
-    once = timed.withWatermark("_event_time", keep).dropDuplicatesWithinWatermark(["booking_id"])
-    return bookings.book(once.drop("_event_time"), players, rounds, weather)
+
+    def __init__(self, spark: SparkSession, root: str, players: DataFrame, counts: DataFrame, weather: DataFrame):
+        self.spark = spark
+        self.tables = ParquetTables(spark, root)
+        self.sides = (players, counts, weather)
+
+    def _stored(self) -> DataFrame:
+        return self.spark.read.parquet(self.tables.path("bookings"))
+
+    def update(self, batch: DataFrame, batch_id: int) -> None:
+        once = batch.dropDuplicates(["booking_id"])
+        if self.tables.exists("bookings"):
+            others = self._stored().where(F.col("batch") != batch_id).select("booking_id")
+            once = once.join(others, "booking_id", "left_anti")
+        self.tables.replace(bookings.book(once, *self.sides), f"bookings/batch={batch_id}")
+
+    def start(self, requests: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+        writer = requests.writeStream.foreachBatch(self.update).option("checkpointLocation", checkpoint)
+        if available_now:
+            writer = writer.trigger(availableNow=True)
+        return writer.start()
+
+    def bookings(self) -> DataFrame:
+        return self._stored().drop("batch")

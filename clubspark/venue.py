@@ -50,7 +50,7 @@ class Venue:
         )
         name = f"rounds/load={load_id}"
         self.tables.replace(rounds, name)
-        self.state.update(self.spark.read.schema(schemas.ROUNDS).parquet(self.tables.path(name)), load_id)
+        self.state.update(self.spark.read.schema(schemas.ROUNDS).parquet(self.tables.path(name)), load_id, "load")
 
     def rounds(self) -> DataFrame:
         """All stored rounds; the round number is left to :meth:`numbered_rounds`."""

@@ -1,10 +1,11 @@
 import datetime
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from clubspark.functions import columns as C
-from clubspark.operators import reshape
+from clubspark.operators import features, reshape
 
 D = datetime.date
 
@@ -60,7 +61,22 @@ def test_hash_survives_large_ids(spark):
     df = spark.createDataFrame([(2**62,), (10**15,), (0,)], "x long")
     got = {r["x"]: r["h"] for r in df.select("x", C.portable_hash(F.col("x"), 42).alias("h")).collect()}
     for x, h in got.items():
-        assert h == ((((x + 42 * 7919) % 2**31) * 1103515245 + 12345) % 2**31) // 65536
+        assert h == int(hashlib.md5(f"42:{x}".encode()).hexdigest()[:15], 16)
+
+
+def test_draws_are_independent(spark):
+    """Samples spread over the ids, the split does not follow from the date, ids with high partition bits draw differently."""
+    ids = spark.range(40000).select(F.col("id").alias("round_id"))
+    sample = [r["round_id"] for r in reshape.sample_rows(ids, 200).collect()]
+    assert max(sample) > 30000 and 15000 < sum(sample) / 200 < 25000
+    both = reshape.assign_dates(ids).select("round_date", features.split_flag().alias("s")).collect()
+    shares = {}
+    for r in both:
+        shares.setdefault(r["round_date"], []).append(r["s"] == "train")
+    means = [sum(v) / len(v) for v in shares.values()]
+    assert max(means) - min(means) > 0.1 and abs(sum(means) / len(means) - 0.8) < 0.02
+    low, high = (ids.select(C.portable_hash(F.col("round_id") + F.lit(k))).collect() for k in (0, 2**33))
+    assert low != high
 
 
 def test_unpivot_keeps_four_rounds_per_named_card(spark):

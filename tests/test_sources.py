@@ -19,17 +19,17 @@ WEATHER = """time,tavg,tmin,tmax,prcp,wdir,wspd,pres
 
 @pytest.fixture
 def folder(tmp_path):
-    (tmp_path / "golf_b.csv").write_text(CARDS)
-    (tmp_path / "golf_a.csv").write_text(CARDS)
-    (tmp_path / "boston_weather_data.csv").write_text(WEATHER)
+    (tmp_path / "scorecards_b.csv").write_text(CARDS)
+    (tmp_path / "scorecards_a.csv").write_text(CARDS)
+    (tmp_path / "weather.csv").write_text(WEATHER)
     return tmp_path
 
 
 def test_discover(spark, folder, tmp_path):
     cards, days = files.discover(spark, str(folder))
-    assert [p.rsplit("/", 1)[1] for p in cards] == ["golf_a.csv", "golf_b.csv"] and len(days) == 1
+    assert [p.rsplit("/", 1)[1] for p in cards] == ["scorecards_a.csv", "scorecards_b.csv"] and len(days) == 1
     assert len(files.discover(spark, str(folder), first_only=True)[0]) == 1
-    (folder / "boston_weather_data.csv").unlink()
+    (folder / "weather.csv").unlink()
     assert files.discover(spark, str(folder)) == (None, None)
     assert files.discover(spark, str(tmp_path / "none")) == (None, None)
 
@@ -47,13 +47,13 @@ def test_read_and_clean(spark, folder):
 
 
 def test_inferred_schema(spark, folder):
-    inferred = files.read_scorecards(spark, str(folder / "golf_a.csv"), infer=True)
+    inferred = files.read_scorecards(spark, str(folder / "scorecards_a.csv"), infer=True)
     assert dict(inferred.dtypes)["Open.R1"] == "int"
     assert reshape.unpivot_rounds(files.with_scorecard_id(inferred)).count() == 8
 
 
 def test_csv_round_trip(spark, folder, tmp_path):
-    df = files.read_scorecards(spark, str(folder / "golf_a.csv"))
+    df = files.read_scorecards(spark, str(folder / "scorecards_a.csv"))
     files.write_csv(df, str(tmp_path / "out"))
     assert sorted(files.read_csv(spark, str(tmp_path / "out"), schemas.SCORECARDS).collect(), key=str) == sorted(df.collect(), key=str)
 

@@ -64,8 +64,37 @@ def test_booking_stream_books_once(spark, tmp_path):
     weather = spark.createDataFrame(
         [(datetime.date(2021, 6, 2), 20.0, 0.0, 5.0)], "date date, avg_temp double, precipitation double, wind_speed double"
     )
-    booked = S.booking_stream(S.file_stream(spark, str(tmp_path / "in"), asked.schema), people, played, weather)
-    S.write_table(booked, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
-    out = spark.read.parquet(str(tmp_path / "out"))
+    book = S.BookingStream(spark, str(tmp_path / "out"), people, player_stats.round_counts(played), weather)
+    book.start(S.file_stream(spark, str(tmp_path / "in"), asked.schema), str(tmp_path / "checkpoint")).awaitTermination()
+    out = book.bookings()
     assert sorted(r["booking_id"] for r in out.collect()) == [1, 2, 3]
     assert out.where(F.col("price_paid") == 75.0).count() == 3
+
+    # a late request, and one that is known, in a later batch; then that batch once more
+    late = asked.where("booking_id = 3").limit(1).withColumn("booking_id", F.lit(9).cast("long"))
+    late = late.withColumn("booking_time", F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")).union(asked.where("booking_id = 2"))
+    for _ in range(2):
+        book.update(late, 7)
+        assert sorted(r["booking_id"] for r in book.bookings().collect()) == [1, 2, 3, 9]
+
+
+def test_loads_and_batches_of_one_number_coexist(spark, all_rounds, tmp_path):
+    state = S.PlayerStatsStream(spark, str(tmp_path))
+    state.update(all_rounds.where("round_id < 5"), 1, "load")
+    state.update(all_rounds.where("round_id >= 5 AND round_id < 8"), 1)
+    assert sum(r["rounds"] for r in state.counts().collect()) == 8
+
+
+def test_null_scores_are_no_rounds_in_means(spark):
+    from clubspark.operators import reports
+
+    rows = [(1, 1, D0, 80), (2, 1, D0, None), (3, 2, D0, None)]
+    rounds = spark.createDataFrame(rows, "round_id long, player_id long, round_date date, score int")
+    got = {r["player_id"]: r["handicap"] for r in player_stats.handicaps(rounds).collect()}
+    assert got == {1: 11.6, 2: None}
+    weather = spark.createDataFrame([(D0, 20.0, 0.0, 5.0)], "date date, avg_temp double, precipitation double, wind_speed double")
+    impact = reports.weather_impact(rounds, weather).first()
+    assert impact["avg_score"] == 80.0 and impact["rounds_played"] == 3
+    last = {r["player_id"]: (r["round_number"], r["round_id"]) for r in reports.last_round_per_player(rounds).collect()}
+    assert last == {1: (2, 2), 2: (1, 3)}
+    assert "SortAggregate" not in reports.last_round_per_player(rounds)._jdf.queryExecution().toString()
