@@ -79,6 +79,9 @@ class Session:
     def getConf(self):
         return self
 
+    def getCheckpointDir(self):
+        return None
+
     def get(self, key, default=None):
         return self.folder if key == "spark.checkpoint.dir" and self.folder else default
 
