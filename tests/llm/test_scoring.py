@@ -261,9 +261,11 @@ def test_model_is_a_distribution():
     model.class_weights += rng.normal(size=model.class_weights.shape).astype(np.float32)
     model.word_weights += rng.normal(size=model.word_weights.shape).astype(np.float32)
     one, two = np.full(512, 3), np.full(512, 540)
-    _, class_logs, inverse = model.class_part(one[:1], two[:1])
+    _, logits, _ = model.class_part(one[:1], two[:1])
+    class_logs = logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
     ids = np.arange(512)
-    _, word_logs, back = model.word_part(ids // 32, one, two)
+    _, logits, back = model.word_part(ids // 32, one, two)
+    word_logs = logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
     frequent = np.exp(class_logs[0][ids // 32] + word_logs[back, ids % 32]).sum()
     rare = np.exp(class_logs[0][16:]).sum()  # shares of counts inside a rare class add up to one
     assert frequent + rare == pytest.approx(1.0, abs=1e-5)
