@@ -15,11 +15,9 @@ FEATURES = BASE_FEATURES + ENGINEERED
 SCALED = ["round_number", "handicap", "avg_temp", "precipitation", "wind_speed"]
 
 
-def training_set(
-    rounds: DataFrame, handicaps: DataFrame, weather: DataFrame, hot: list | None = None
-) -> DataFrame:
+def training_set(rounds: DataFrame, handicaps: DataFrame, weather: DataFrame) -> DataFrame:
     """Rounds with round number, the player's handicap and the day's weather (left joins)."""
-    numbered = round_numbers(rounds, hot=hot)
+    numbered = round_numbers(rounds)
     days = F.broadcast(weather.select("date", "avg_temp", "precipitation", "wind_speed", "day_of_week_int"))
     return (
         numbered.join(handicaps.select("player_id", "handicap"), "player_id", "left")
@@ -62,8 +60,8 @@ def training_rejects(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), kept.alias("kept"), *unknown)
 
 
-def training_features(rounds: DataFrame, handicaps: DataFrame, weather: DataFrame, hot: list | None = None) -> DataFrame:
-    return complete_rows(engineer_features(training_set(rounds, handicaps, weather, hot)))
+def training_features(rounds: DataFrame, handicaps: DataFrame, weather: DataFrame) -> DataFrame:
+    return complete_rows(engineer_features(training_set(rounds, handicaps, weather)))
 
 
 def scaler_stats(df: DataFrame) -> DataFrame:

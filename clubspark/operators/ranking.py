@@ -1,9 +1,8 @@
 """Positions and ids that stay distributed when one key holds much of the data.
 
 A plain ``row_number().over(partitionBy(key))`` sends all rows of a key to one
-task.  Here the keys that hold a large share are found first, and only those are
-cut into pieces along their own sort order: row numbers inside the pieces plus
-the row counts of the pieces before.  Ordinary keys keep the plain window.
+task.  Here every key, null included, is cut into pieces along its own sort
+order: row numbers inside the pieces plus the row counts of the pieces before.
 """
 
 from __future__ import annotations
@@ -13,70 +12,53 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key is split when it holds at least this many rows ...
-HOT_ROWS = 1 << 20
-# ... and at least one row in this many.
-HOT_SHARE = 500
-# Items a frequency sketch tracks: a few ten KB per task, and every key above
-# 1/500 of the rows is found.
-SKETCH_ITEMS = 2048
-# Sketches are merged in this many groups, so no task receives all of them.
-SKETCH_GROUPS = 256
-HOT_LIMIT = 512
-# Pieces follow ranges of 2**20 ids; ids are unique, so no piece is larger.
+# Pieces of a key follow ranges of 2**20 ids; ids are unique, so no piece is larger.
 CHUNK_BITS = 20
+# Without a key the ranges are narrower, so that the counts of the widest ones are few.
+DENSE_BITS = 16
 
 
-def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS, share: int = HOT_SHARE) -> list:
-    """The keys holding at least ``min_rows`` rows and ``1/share`` of all rows.
+def _id_levels(id_col: str, shifts: Sequence[int]) -> list[Column]:
+    return [F.shiftright(F.col(id_col).cast("bigint"), bits) for bits in shifts]
 
-    One narrow pass with frequency sketches and no shuffle of rows; at most
-    HOT_LIMIT keys come back.  The sketches only decide which keys are split:
-    results are the same whatever they say.
-    """
-    sketches = (
-        df.where(F.col(key).isNotNull())
-        .groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("_group"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.expr(f"approx_top_k(`{key}`, {HOT_LIMIT}, {SKETCH_ITEMS})").alias("top"),
-        )
-    )
-    # The total travels along as the entry without a key; it is the largest.
-    total = F.array(F.struct(F.lit(None).cast(df.schema[key].dataType).alias("item"), F.col("n").alias("count")))
-    largest = (
-        sketches.select(F.inline(F.concat(total, "top")))
-        .groupBy("item")
-        .agg(F.sum("count").alias("count"))
-        .orderBy(F.col("count").desc(), F.col("item").asc_nulls_first())
-        .limit(HOT_LIMIT + 1)
-        .collect()
-    )
-    if not largest:
-        return []
-    floor = max(min_rows, largest[0]["count"] / share)
-    return sorted(row["item"] for row in largest[1:] if row["count"] >= floor)
 
+def _offsets(counts: DataFrame, keys: int, descending: bool) -> DataFrame:
+    """(_piece, _before): the rows of a key before each piece.
 
-def _id_chunk(id_col: str, bits: int) -> Column:
-    return F.shiftright(F.col(id_col).cast("bigint"), bits)
+    Totals are summed level by level, so no window spans all pieces of a key.
+    """
+    fields = [f"_piece.{name}" for name in counts.schema["_piece"].dataType.names]
+    before = None
+    for depth in range(keys + 1, len(fields) + 1):
+        this, inside = F.struct(*fields[:depth]), [F.struct(*fields[: depth - 1])] if depth > 1 else []
+        totals = counts.groupBy(this.alias("_piece")).agg(F.sum("_n").alias("_t"))
+        order = F.col(fields[depth - 1]).desc() if descending else F.col(fields[depth - 1]).asc()
+        named = totals.withColumn("_parent", inside[0]) if inside else totals
+        parent = ["_parent"] if inside else []
+        preceding = Window.partitionBy(*parent).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        out = named.withColumn("_before", F.coalesce(F.sum("_t").over(preceding), F.lit(0)))
+        if before is not None:
+            wider = before.select(F.col("_piece").alias("_parent"), F.col("_before").alias("_wider"))
+            out = out.join(wider, "_parent").withColumn("_before", F.col("_before") + F.col("_wider"))
+        before = out.select("_piece", "_before")
+    return before
 
 
-def _offsets(counts: DataFrame, key: Sequence[str], levels: Sequence[str], descending: bool) -> DataFrame:
-    """Rows before each piece, summed level by level so no window spans all pieces of a key."""
-    out = counts.withColumn("_before", F.lit(0).cast("bigint"))
-    for depth in range(len(levels), 0, -1):
-        parent, this = [*key, *levels[: depth - 1]], levels[depth - 1]
-        totals = counts.groupBy(*parent, this).agg(F.sum("_n").alias("_t"))
-        order = F.col(this).desc() if descending else F.col(this).asc()
-        preceding = Window.partitionBy(*parent).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        cumulated = totals.select(*parent, this, F.coalesce(F.sum("_t").over(preceding), F.lit(0)).alias("_c"))
-        out = (
-            out.join(cumulated, [*parent, this])
-            .withColumn("_before", F.col("_before") + F.col("_c"))
-            .drop("_c")
-        )
-    return out.drop("_n")
+def _number(
+    df: DataFrame, key: Sequence[str], levels: list[Column], sort: list[Column], descending: bool
+) -> DataFrame:
+    """df with ``_number``, the 1-based position among the rows of a key, and ``_piece``.
+
+    A piece is named by a struct, which is never null and equals another with the same nulls, so
+    that the window and the join share one shuffle and null keys need no case of their own.
+    """
+    parts = [*[F.col(k) for k in key], *levels]
+    cut = df.withColumn("_piece", F.struct(*[part.alias(f"_part{i}") for i, part in enumerate(parts)]))
+    counts = cut.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
+    local = cut.withColumn("_local", F.row_number().over(Window.partitionBy("_piece").orderBy(*sort)))
+    return local.join(_offsets(counts, len(key), descending), "_piece").withColumn(
+        "_number", F.col("_local") + F.col("_before")
+    )
 
 
 def position_in_key(
@@ -86,62 +68,33 @@ def position_in_key(
     id_col: str,
     out: str,
     descending: bool = False,
-    hot: list | None = None,
     chunk_bits: int = CHUNK_BITS,
 ) -> DataFrame:
     """1-based position of each row among the rows of its key, by ``order`` then the unique id.
 
-    ``order`` columns must have a bounded number of values (such as days).
+    ``order`` columns must have a bounded number of values (such as days).  ``df`` is read twice, once for the counts.
     """
-    hot = hot_keys(df, key) if hot is None else hot
     sort = [F.col(c).desc() if descending else F.col(c).asc() for c in [*order, id_col]]
-    if not hot:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(key).orderBy(*sort)))
-
-    is_hot = F.col(key).isin(hot)
-    levels = [f"_level{i}" for i in range(len(order) + 1)]
-    exprs = [*[F.col(c) for c in order], _id_chunk(id_col, chunk_bits)]
-    cut = df.withColumns({name: F.when(is_hot, e) for name, e in zip(levels, exprs)})
-    counts = cut.where(is_hot).groupBy(key, *levels).agg(F.count(F.lit(1)).alias("_n"))
-    before = _offsets(counts, [key], levels, descending)
-    local = F.row_number().over(Window.partitionBy(key, *levels).orderBy(*sort))
-    return (
-        cut.withColumn("_local", local)
-        .join(before, [key, *levels], "left")
-        .withColumn(out, (F.col("_local") + F.coalesce(F.col("_before"), F.lit(0))).cast("int"))
-        .select(*df.columns, out)
-    )
+    levels = [*[F.col(c) for c in order], *_id_levels(id_col, (2 * chunk_bits, chunk_bits))]
+    numbered = _number(df, [key], levels, sort, descending)
+    return numbered.select(*df.columns, F.col("_number").cast("int").alias(out))
 
 
-def dense_ids(df: DataFrame, order_id: str, out: str, start: Column | None = None, chunk_bits: int = CHUNK_BITS) -> DataFrame:
+def dense_ids(df: DataFrame, order_id: str, out: str, start: Column | None = None, chunk_bits: int = DENSE_BITS) -> DataFrame:
     """Ids start+1, start+2, ... in the order of the unique number ``order_id``.
 
     Ranges of that number are ranked separately and shifted by the counts
-    before them; the only window over everything runs on at most 2**23 counts.
+    before them; the only window over everything runs on at most 2**16 counts.
     """
-    levels = ["_level0", "_level1"]
-    cut = df.withColumns(
-        {"_level0": _id_chunk(order_id, 2 * chunk_bits), "_level1": _id_chunk(order_id, chunk_bits)}
-    )
-    counts = cut.groupBy(*levels).agg(F.count(F.lit(1)).alias("_n"))
-    before = _offsets(counts, [], levels, descending=False)
-    local = F.row_number().over(Window.partitionBy(*levels).orderBy(order_id))
-    number = F.col("_local") + F.col("_before")
-    if start is not None:
-        number = number + start
-    return (
-        cut.withColumn("_local", local)
-        .join(before, levels)
-        .withColumn(out, number.cast("bigint"))
-        .select(*df.columns, out)
-    )
+    levels = _id_levels(order_id, (3 * chunk_bits, 2 * chunk_bits, chunk_bits))
+    number = F.col("_number") if start is None else F.col("_number") + start
+    numbered = _number(df, [], levels, [F.col(order_id).asc()], descending=False)
+    return numbered.select(*df.columns, number.cast("bigint").alias(out))
 
 
-def round_numbers(rounds: DataFrame, hot: list | None = None) -> DataFrame:
+def round_numbers(rounds: DataFrame) -> DataFrame:
     """Number each player's rounds 1..n by date."""
-    return position_in_key(
-        rounds.drop("round_number"), "player_id", ["round_date"], "round_id", "round_number", hot=hot
-    )
+    return position_in_key(rounds.drop("round_number"), "player_id", ["round_date"], "round_id", "round_number")
 
 
 def first_rounds(rounds: DataFrame, n: int) -> DataFrame:

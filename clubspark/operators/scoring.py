@@ -64,14 +64,14 @@ def adjust_scores(rounds: DataFrame, weather: DataFrame, temp_unit: str = "C", w
 
 
 def adjust_scores_compounded(
-    rounds: DataFrame, weather: DataFrame, temp_unit: str = "C", wind_unit: str = "mph", hot: list | None = None
+    rounds: DataFrame, weather: DataFrame, temp_unit: str = "C", wind_unit: str = "mph"
 ) -> DataFrame:
     """Variant in which every later insert of a player adjusts the earlier rounds again.
 
     The i-th of a player's N rounds is adjusted N - i + 2 times.
     """
     joined = _with_delta(rounds, weather, STORED_RULES, temp_unit, wind_unit)
-    ranked = position_in_key(joined, "player_id", [], "round_id", "_from_end", descending=True, hot=hot)
+    ranked = position_in_key(joined, "player_id", [], "round_id", "_from_end", descending=True)
     times = F.col("_from_end") + 1
     return ranked.withColumn("score", (F.col("score") + F.col("delta") * times).cast("int")).drop("delta", "_from_end")
 

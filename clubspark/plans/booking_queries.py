@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clubspark.functions import columns as C
 from clubspark.operators import bookings, features, player_stats
 from clubspark.plans import domain as D
 from clubspark.plans.registry import hash_sql, query, with_views
@@ -37,9 +38,16 @@ _BOOKED = """
 """
 
 
-def _stats(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Players with their handicaps, and the stored rounds."""
-    rounds = D.rounds(spark, sf)
+def _stats(
+    spark: SparkSession, sf: str, weather: DataFrame, requests: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Players with their handicaps, and the stored rounds, written once; only of the players in ``requests``."""
+    rounds = D.rounds(spark, sf, weather)
+    if requests is not None:
+        names = requests.select(C.normalize_name(F.col("player_name")).alias("player_name"))
+        asking = D.players(spark, sf).join(names, "player_name", "left_semi").select("player_id")
+        rounds = rounds.join(asking, "player_id", "left_semi")
+    rounds = materialize(rounds)
     players = D.players(spark, sf).drop("handicap").join(player_stats.handicaps(rounds), "player_id", "left")
     return players, rounds
 
@@ -76,10 +84,9 @@ def register_players(spark: SparkSession, sf: str) -> DataFrame:
 @query("price_bookings", with_views("", "requests", "players", "handicaps", "rounds", "weather") + _BOOKED + """
 SELECT booking_id, CASE WHEN reject_reason IS NULL THEN amount END AS price_paid FROM judged""")
 def price_bookings(spark: SparkSession, sf: str) -> DataFrame:
-    players, rounds = _stats(spark, sf)
-    frame = bookings.booking_features(
-        bookings.validate_bookings(D.booking_requests(spark, sf)), players, rounds, D.weather(spark, sf)
-    )
+    asked, weather = D.booking_requests(spark, sf), D.weather_once(spark, sf)
+    players, rounds = _stats(spark, sf, weather, asked)
+    frame = bookings.booking_features(bookings.validate_bookings(asked), players, rounds, weather)
     return bookings.price_bookings(frame).select("booking_id", "price_paid")
 
 
@@ -92,14 +99,15 @@ SELECT booking_id, player_id, CAST(booking_date AS TIMESTAMP) + to_hours(hour) A
 
 @query("book_requests", BOOK_SQL)
 def book_requests(spark: SparkSession, sf: str) -> DataFrame:
-    players, rounds = _stats(spark, sf)
-    return bookings.book(D.booking_requests(spark, sf), players, rounds, D.weather(spark, sf))
+    asked, weather = D.booking_requests(spark, sf), D.weather_once(spark, sf)
+    players, rounds = _stats(spark, sf, weather, asked)
+    return bookings.book(asked, players, rounds, weather)
 
 
 def _training_set(spark: SparkSession, sf: str, adjusted: bool = False) -> DataFrame:
-    weather = D.weather_once(spark, sf) if adjusted else D.weather(spark, sf)
-    rounds = D.adjusted_rounds(spark, sf, weather) if adjusted else D.rounds(spark, sf)
-    return features.training_set(rounds, player_stats.handicaps(rounds), weather, D.hot_players(spark, sf))
+    weather = D.weather_once(spark, sf)
+    rounds = materialize(D.adjusted_rounds(spark, sf, weather) if adjusted else D.rounds(spark, sf, weather))
+    return features.training_set(rounds, player_stats.handicaps(rounds), weather)
 
 
 def training(spark: SparkSession, sf: str, adjusted: bool = False) -> DataFrame:

@@ -177,9 +177,8 @@ SELECT round_id, player_id, round_date, CAST(score + coalesce(delta, 0) *
   (row_number() OVER (PARTITION BY player_id ORDER BY round_id DESC) + 1) AS INTEGER) AS score
 FROM rounds LEFT JOIN deltas ON round_date = date""", ("rounds", "deltas"))
 def adjust_scores_compound(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.adjust_scores_compounded(
-        D.rounds(spark, sf), D.weather(spark, sf), hot=D.hot_players(spark, sf)
-    )
+    weather = D.weather_once(spark, sf)
+    return scoring.adjust_scores_compounded(D.rounds(spark, sf, weather), weather)
 
 
 @query("adjust_scores_eda", """
@@ -192,12 +191,12 @@ SELECT round_id, player_id, CAST(score
          WHEN round_number = 1 THEN 1 ELSE 0 END AS INTEGER) AS score
 FROM numbered LEFT JOIN weather_f ON round_date = date""", ("numbered", "weather_f"))
 def adjust_scores_eda(spark: SparkSession, sf: str) -> DataFrame:
-    numbered = ranking.round_numbers(D.rounds(spark, sf), hot=D.hot_players(spark, sf))
-    out = scoring.adjust_scores_exploratory(numbered, D.weather(spark, sf))
+    weather = D.weather_once(spark, sf)
+    out = scoring.adjust_scores_exploratory(ranking.round_numbers(D.rounds(spark, sf, weather)), weather)
     return out.select("round_id", "player_id", "score")
 
 
 @query("round_numbers", "SELECT round_id, player_id, round_date, round_number FROM numbered", ("numbered",))
 def round_numbers(spark: SparkSession, sf: str) -> DataFrame:
     rounds = D.rounds(spark, sf).select("round_id", "player_id", "round_date")
-    return ranking.round_numbers(rounds, hot=D.hot_players(spark, sf))
+    return ranking.round_numbers(rounds)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clubspark.operators import loading, ranking, reshape, scoring
+from clubspark.operators import loading, reshape, scoring
 from clubspark.session import materialize
 
 # Orders from this day on, and players of this segment, have not been loaded yet.
@@ -136,23 +136,19 @@ def rounds_from_orders(orders: DataFrame, days: DataFrame) -> DataFrame:
     return loading.with_known_weather(dated, days).select("round_id", "player_id", "round_date", "score")
 
 
-def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored rounds: played, on days with weather, keyed by player id.
+def rounds(spark: SparkSession, sf_dir: str, days: DataFrame | None = None) -> DataFrame:
+    """Stored rounds: played, on days with weather, keyed by player id; ``days`` is a weather table already at hand.
 
     A stored round carries its player id, so the customer table is not needed.
     """
-    return rounds_from_orders(table(spark, sf_dir, "orders"), weather_dates(spark, sf_dir))
-
-
-def hot_players(spark: SparkSession, sf_dir: str) -> list:
-    """Players with a large share of the rounds, judged by their scorecards of four rounds each."""
-    cards = table(spark, sf_dir, "orders").select("o_custkey")
-    return ranking.hot_keys(cards, "o_custkey", min_rows=ranking.HOT_ROWS // len(reshape.ROUND_COLUMNS))
+    known = weather_dates(spark, sf_dir) if days is None else days.select("date")
+    return rounds_from_orders(table(spark, sf_dir, "orders"), known)
 
 
 def adjusted_rounds(spark: SparkSession, sf_dir: str, days: DataFrame | None = None) -> DataFrame:
     """Stored rounds with adjusted scores; ``days`` is a weather table already at hand."""
-    return scoring.adjust_scores(rounds(spark, sf_dir), weather(spark, sf_dir) if days is None else days)
+    days = weather_once(spark, sf_dir) if days is None else days
+    return scoring.adjust_scores(rounds(spark, sf_dir, days), days)
 
 
 def weather_once(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from clubspark.operators import loading, player_stats, quality, reshape
 from clubspark.operators import reports as R
 from clubspark.plans import domain as D
+from clubspark.plans.booking_queries import _training_set
 from clubspark.plans.registry import differential_sql, handicap_sql, query, with_views
-from clubspark.session import shared_folder
+from clubspark.session import materialize, shared_folder
 from clubspark.sources.tables import ParquetTables
 from clubspark.venue import Venue
 
@@ -58,15 +59,15 @@ def load_players(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("new_weather", "SELECT * FROM weather WHERE date >= DATE '2020-01-01'", ("weather",))
 def new_weather(spark: SparkSession, sf: str) -> DataFrame:
-    cleaned = D.weather(spark, sf)
-    stored = D.weather_dates(spark, sf).where(F.col("date") < F.lit(D.WEATHER_LOADED_TO).cast("date"))
+    cleaned = D.weather_once(spark, sf)
+    stored = cleaned.where(F.col("date") < F.lit(D.WEATHER_LOADED_TO).cast("date"))
     return loading.new_weather(cleaned, stored)
 
 
 @query("load_weather", "SELECT * FROM weather", ("weather",))
 def load_weather(spark: SparkSession, sf: str) -> DataFrame:
     """Stored days plus the new ones: each day once."""
-    cleaned = D.weather(spark, sf)
+    cleaned = D.weather_once(spark, sf)
     stored = cleaned.where(F.col("date") < F.lit(D.WEATHER_LOADED_TO).cast("date"))
     return stored.union(loading.new_weather(cleaned, stored))
 
@@ -118,10 +119,10 @@ SELECT 'rounds', count(*), (SELECT count(*) FROM rounds),
   (SELECT count(*) FROM rounds) + count(CASE WHEN score > 0 AND round_date IN (SELECT date FROM weather) THEN 1 END)
 FROM rounds_raw""", ("scorecards", "players", "weather", "rounds", "rounds_raw"))
 def load_audit(spark: SparkSession, sf: str) -> DataFrame:
-    cleaned = D.weather_dates(spark, sf)
+    cleaned = materialize(D.weather_dates(spark, sf))
     stored_days = cleaned.where(F.col("date") < F.lit(D.WEATHER_LOADED_TO).cast("date"))
     return loading.load_audit(
-        D.scorecards(spark, sf), D.players(spark, sf, existing=True), cleaned, stored_days, D.rounds(spark, sf)
+        D.scorecards(spark, sf), D.players(spark, sf, existing=True), cleaned, stored_days, D.rounds(spark, sf, cleaned)
     )
 
 
@@ -273,9 +274,4 @@ def check_foreign_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("training_set", "SELECT * FROM training", ("training",))
 def training_set(spark: SparkSession, sf: str) -> DataFrame:
-    from clubspark.operators import features
-
-    rounds = D.rounds(spark, sf)
-    return features.training_set(
-        rounds, player_stats.handicaps(rounds), D.weather(spark, sf), D.hot_players(spark, sf)
-    )
+    return _training_set(spark, sf)

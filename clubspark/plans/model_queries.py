@@ -68,9 +68,10 @@ def score_bookings(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_folder(spark)
     models.train_bundle("gbt", materialize(training(spark, sf, adjusted=True))).save(path)
     bundle = models.ModelBundle.load(spark, path)
-    players, rounds = _stats(spark, sf)
-    asked = bookings.validate_bookings(D.booking_requests(spark, sf))
-    priced = bookings.price_bookings(bookings.booking_features(asked, players, rounds, D.weather(spark, sf)))
+    asked, weather = D.booking_requests(spark, sf), D.weather_once(spark, sf)
+    players, rounds = _stats(spark, sf, weather, asked)
+    frame = bookings.booking_features(bookings.validate_bookings(asked), players, rounds, weather)
+    priced = bookings.price_bookings(frame)
     valid = F.col("reject_reason").isNull()
     return bundle.predict(priced).select(
         "booking_id",

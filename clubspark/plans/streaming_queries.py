@@ -21,8 +21,9 @@ def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query("stream_adjust_scores", with_views("SELECT * FROM adjusted", "adjusted"))
 def stream_adjust_scores(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_folder(spark)
-    rounds = D.rounds_from_orders(_stream(spark, sf, "orders"), D.weather_dates(spark, sf))
-    adjusted = S.adjusted_stream(rounds, D.weather_once(spark, sf))
+    weather = D.weather_once(spark, sf)
+    rounds = D.rounds_from_orders(_stream(spark, sf, "orders"), weather.select("date"))
+    adjusted = S.adjusted_stream(rounds, weather)
     S.write_table(adjusted, f"{path}/rounds", f"{path}/checkpoint").awaitTermination()
     return spark.read.schema(adjusted.schema).parquet(f"{path}/rounds")
 
@@ -30,9 +31,10 @@ def stream_adjust_scores(spark: SparkSession, sf: str) -> DataFrame:
 @query("stream_player_stats", PLAYER_STATS_SQL)
 def stream_player_stats(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_folder(spark)
-    rounds = D.rounds_from_orders(_stream(spark, sf, "orders"), D.weather_dates(spark, sf))
+    weather = D.weather_once(spark, sf)
+    rounds = D.rounds_from_orders(_stream(spark, sf, "orders"), weather.select("date"))
     state = S.PlayerStatsStream(spark, f"{path}/state")
-    state.start(S.adjusted_stream(rounds, D.weather_once(spark, sf)), f"{path}/checkpoint").awaitTermination()
+    state.start(S.adjusted_stream(rounds, weather), f"{path}/checkpoint").awaitTermination()
     return state.stats(D.players(spark, sf))
 
 
@@ -40,7 +42,8 @@ def stream_player_stats(spark: SparkSession, sf: str) -> DataFrame:
 def stream_bookings(spark: SparkSession, sf: str) -> DataFrame:
     """One file and micro-batch after the other, earlier requests in later ones, and some requests twice."""
     path = shared_folder(spark)
-    players, rounds = _stats(spark, sf)
+    weather = D.weather_once(spark, sf)
+    players, rounds = _stats(spark, sf, weather)
     players, counts = materialize(players), materialize(round_counts(rounds))
     events = D.table(spark, sf, "events")
     for part in range(3):
@@ -48,6 +51,6 @@ def stream_bookings(spark: SparkSession, sf: str) -> DataFrame:
         sent.coalesce(1).write.mode("append").parquet(f"{path}/events")
     arriving = S.file_stream(spark, f"{path}/events", D.SCHEMAS["events"], max_files=1)
     asked = D.requests_from_events(arriving, D.table(spark, sf, "customer"), "purchase")
-    booked = S.BookingStream(spark, f"{path}/state", players, counts, D.weather_once(spark, sf))
+    booked = S.BookingStream(spark, f"{path}/state", players, counts, weather)
     booked.start(asked.drop("handicap", "player_id"), f"{path}/checkpoint").awaitTermination()
     return booked.bookings()

@@ -38,6 +38,19 @@ def test_top_rows_are_cut_before_the_shuffle(name, spark, sf):
     assert "WindowGroupLimit" in text and "Partial" in text
 
 
+@pytest.mark.parametrize("name", ["round_numbers", "adjust_scores_compound", "adjust_scores_eda"])
+def test_no_player_is_numbered_in_one_task(name, spark, sf):
+    text = plan(QUERIES[name](spark, sf)).split("== Physical Plan ==")[1]
+    keys = re.findall(r"Window \[row_number\(\).*?\], \[([^\]]*)\], \[", text)
+    assert keys and all(k.startswith("_piece#") for k in keys)
+
+
+@pytest.mark.parametrize("name", ["adjust_scores", "load_weather", "book_requests", "training_set"])
+def test_large_tables_are_not_read_again(name, spark, sf):
+    text = plan(QUERIES[name](spark, sf)).split("== Physical Plan ==")[1]
+    assert text.count("lineitem.parquet") <= 1 and text.count("orders.parquet") <= 1
+
+
 @pytest.mark.parametrize("name", ["top_scores", "sample_rows", "top_rounds"])
 def test_top_lists_do_not_sort_everything(name, spark, sf):
     assert "TakeOrderedAndProject" in plan(QUERIES[name](spark, sf))

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clubspark.operators import ranking
@@ -25,16 +26,18 @@ def numbered(df, name):
 @pytest.mark.parametrize("descending", [False, True])
 @pytest.mark.parametrize("order", [["round_date"], []])
 def test_split_positions_equal_plain_window(rounds, order, descending):
-    plain = ranking.position_in_key(rounds, "player_id", order, "round_id", "p", descending, hot=[])
-    split = ranking.position_in_key(rounds, "player_id", order, "round_id", "p", descending, hot=[1, 5], chunk_bits=4)
-    assert numbered(plain, "p") == numbered(split, "p")
-    assert split.columns == plain.columns
-
-
-def test_hot_keys(rounds):
-    assert ranking.hot_keys(rounds, "player_id", min_rows=100, share=4) == [1]
-    assert ranking.hot_keys(rounds, "player_id") == []
-    assert ranking.hot_keys(rounds.limit(0), "player_id", min_rows=0) == []
+    sort = [F.col(c).desc() if descending else F.col(c).asc() for c in [*order, "round_id"]]
+    nulls = rounds.withColumn("player_id", F.when(F.col("player_id") != 5, F.col("player_id")))
+    nulls = nulls.withColumn("round_date", F.when(F.col("d") != 2, F.col("round_date")))
+    plain = nulls.withColumn("p", F.row_number().over(Window.partitionBy("player_id").orderBy(*sort)))
+    for bits in (2, 4, 20):
+        split = ranking.position_in_key(nulls, "player_id", order, "round_id", "p", descending, chunk_bits=bits)
+        assert numbered(plain, "p") == numbered(split, "p")
+        assert split.schema["p"].dataType == plain.schema["p"].dataType and split.columns == plain.columns
+
+
+def test_positions_of_no_rows(rounds):
+    assert ranking.round_numbers(rounds.limit(0)).count() == 0
 
 
 def test_round_numbers_run_from_one(rounds):

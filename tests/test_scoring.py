@@ -60,16 +60,15 @@ def test_celsius_is_converted_first(spark):
     assert scoring.adjust_scores(rounds(spark), weather(spark, 9.9, 5.0, None)).first()["score"] == 84
 
 
-@pytest.mark.parametrize("hot", [[], [1]])
-def test_compounded_variant(spark, hot):
-    out = scoring.adjust_scores_compounded(rounds(spark, 3), weather(spark, 40.0, 5.0, None), temp_unit="F", hot=hot)
+def test_compounded_variant(spark):
+    out = scoring.adjust_scores_compounded(rounds(spark, 3), weather(spark, 40.0, 5.0, None), temp_unit="F")
     assert {r["round_id"]: r["score"] for r in out.collect()} == {1: 80 + 4 * 4, 2: 80 + 4 * 3, 3: 80 + 4 * 2}
 
 
 def test_compounded_equals_once_without_adjustment(spark):
     calm = weather(spark, 60.0, 5.0, None)
     once = scoring.adjust_scores(rounds(spark, 4), calm, temp_unit="F").collect()
-    many = scoring.adjust_scores_compounded(rounds(spark, 4), calm, temp_unit="F", hot=[]).collect()
+    many = scoring.adjust_scores_compounded(rounds(spark, 4), calm, temp_unit="F").collect()
     assert sorted(once) == sorted(many)
 
 
