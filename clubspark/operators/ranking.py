@@ -1,8 +1,9 @@
 """Positions and ids that stay distributed when one key holds much of the data.
 
 A plain ``row_number().over(partitionBy(key))`` sends all rows of a key to one
-task.  Here every key, null included, is cut into pieces along its own sort
-order: row numbers inside the pieces plus the row counts of the pieces before.
+task.  Here all rows are range-partitioned along key and sort order, so that a
+key of any size, null included, lies in as many even pieces as it needs; a row's
+position is its place in the piece plus the row counts of the pieces before.
 """
 
 from __future__ import annotations
@@ -12,72 +13,49 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Pieces of a key follow ranges of 2**20 ids; ids are unique, so no piece is larger.
-CHUNK_BITS = 20
-# Without a key the ranges are narrower, so that the counts of the widest ones are few.
-DENSE_BITS = 16
-
-
-def _id_levels(id_col: str, shifts: Sequence[int]) -> list[Column]:
-    return [F.shiftright(F.col(id_col).cast("bigint"), bits) for bits in shifts]
-
-
-def _offsets(counts: DataFrame, keys: int, descending: bool) -> DataFrame:
-    """(_piece, _before): the rows of a key before each piece.
-
-    Totals are summed level by level, so no window spans all pieces of a key.
-    """
-    fields = [f"_piece.{name}" for name in counts.schema["_piece"].dataType.names]
-    before = None
-    for depth in range(keys + 1, len(fields) + 1):
-        this, inside = F.struct(*fields[:depth]), [F.struct(*fields[: depth - 1])] if depth > 1 else []
-        totals = counts.groupBy(this.alias("_piece")).agg(F.sum("_n").alias("_t"))
-        order = F.col(fields[depth - 1]).desc() if descending else F.col(fields[depth - 1]).asc()
-        named = totals.withColumn("_parent", inside[0]) if inside else totals
-        parent = ["_parent"] if inside else []
-        preceding = Window.partitionBy(*parent).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        out = named.withColumn("_before", F.coalesce(F.sum("_t").over(preceding), F.lit(0)))
-        if before is not None:
-            wider = before.select(F.col("_piece").alias("_parent"), F.col("_before").alias("_wider"))
-            out = out.join(wider, "_parent").withColumn("_before", F.col("_before") + F.col("_wider"))
-        before = out.select("_piece", "_before")
-    return before
-
-
-def _number(
-    df: DataFrame, key: Sequence[str], levels: list[Column], sort: list[Column], descending: bool
-) -> DataFrame:
-    """df with ``_number``, the 1-based position among the rows of a key, and ``_piece``.
+from clubspark.session import materialize
 
-    A piece is named by a struct, which is never null and equals another with the same nulls, so
-    that the window and the join share one shuffle and null keys need no case of their own.
-    """
-    parts = [*[F.col(k) for k in key], *levels]
-    cut = df.withColumn("_piece", F.struct(*[part.alias(f"_part{i}") for i, part in enumerate(parts)]))
-    counts = cut.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
-    local = cut.withColumn("_local", F.row_number().over(Window.partitionBy("_piece").orderBy(*sort)))
-    return local.join(_offsets(counts, len(key), descending), "_piece").withColumn(
-        "_number", F.col("_local") + F.col("_before")
-    )
+# Ids without a key are ranked in ranges of 2**16, 2**32 and 2**48 ids.
+DENSE_BITS = 16
+# monotonically_increasing_id keeps the row's place in its partition in this many low bits.
+PLACE_BITS = 33
 
 
 def position_in_key(
-    df: DataFrame,
-    key: str,
-    order: Sequence[str],
-    id_col: str,
-    out: str,
-    descending: bool = False,
-    chunk_bits: int = CHUNK_BITS,
+    df: DataFrame, key: str, order: Sequence[str], id_col: str, out: str, descending: bool = False
 ) -> DataFrame:
     """1-based position of each row among the rows of its key, by ``order`` then the unique id.
 
-    ``order`` columns must have a bounded number of values (such as days).  ``df`` is read twice, once for the counts.
+    The sorted rows are written once, as the range bounds are drawn anew for each job.  A key has at most one piece
+    per partition, so the window over its pieces is short whatever the key holds.
     """
     sort = [F.col(c).desc() if descending else F.col(c).asc() for c in [*order, id_col]]
-    levels = [*[F.col(c) for c in order], *_id_levels(id_col, (2 * chunk_bits, chunk_bits))]
-    numbered = _number(df, [key], levels, sort, descending)
-    return numbered.select(*df.columns, F.col("_number").cast("int").alias(out))
+    placed = df.repartitionByRange(F.col(key), *sort).sortWithinPartitions(F.col(key), *sort)
+    placed = materialize(placed.withColumn("_at", F.monotonically_increasing_id()))
+    # a struct is never null and equals another with the same null, so null keys need no case of their own
+    piece = F.struct(F.col(key).alias("key"), F.shiftright("_at", PLACE_BITS).alias("task"))
+    placed = placed.withColumn("_piece", piece)
+    counts = placed.groupBy("_piece").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    preceding = Window.partitionBy("_piece.key").orderBy("_piece.task").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(preceding), F.lit(0))).drop("_n")
+    number = F.col("_at") - F.col("_first") + F.col("_before") + 1
+    return placed.join(before, "_piece").select(*df.columns, number.cast("int").alias(out))
+
+
+def _offsets(counts: DataFrame, levels: Sequence[str]) -> DataFrame:
+    """Rows before each range, summed level by level so no window spans all ranges."""
+    out = counts.withColumn("_before", F.lit(0).cast("bigint"))
+    for depth in range(len(levels), 0, -1):
+        parent, this = levels[: depth - 1], levels[depth - 1]
+        totals = counts.groupBy(*parent, this).agg(F.sum("_n").alias("_t"))
+        preceding = Window.partitionBy(*parent).orderBy(this).rowsBetween(Window.unboundedPreceding, -1)
+        cumulated = totals.select(*parent, this, F.coalesce(F.sum("_t").over(preceding), F.lit(0)).alias("_c"))
+        out = (
+            out.join(cumulated, [*parent, this])
+            .withColumn("_before", F.col("_before") + F.col("_c"))
+            .drop("_c")
+        )
+    return out.drop("_n")
 
 
 def dense_ids(df: DataFrame, order_id: str, out: str, start: Column | None = None, chunk_bits: int = DENSE_BITS) -> DataFrame:
@@ -86,10 +64,21 @@ def dense_ids(df: DataFrame, order_id: str, out: str, start: Column | None = Non
     Ranges of that number are ranked separately and shifted by the counts
     before them; the only window over everything runs on at most 2**16 counts.
     """
-    levels = _id_levels(order_id, (3 * chunk_bits, 2 * chunk_bits, chunk_bits))
-    number = F.col("_number") if start is None else F.col("_number") + start
-    numbered = _number(df, [], levels, [F.col(order_id).asc()], descending=False)
-    return numbered.select(*df.columns, number.cast("bigint").alias(out))
+    levels = ["_level0", "_level1", "_level2"]
+    number = F.col(order_id).cast("bigint")
+    cut = df.withColumns({name: F.shiftright(number, k * chunk_bits) for name, k in zip(levels, (3, 2, 1))})
+    counts = cut.groupBy(*levels).agg(F.count(F.lit(1)).alias("_n"))
+    before = _offsets(counts, levels)
+    local = F.row_number().over(Window.partitionBy(*levels).orderBy(order_id))
+    number = F.col("_local") + F.col("_before")
+    if start is not None:
+        number = number + start
+    return (
+        cut.withColumn("_local", local)
+        .join(before, levels)
+        .withColumn(out, number.cast("bigint"))
+        .select(*df.columns, out)
+    )
 
 
 def round_numbers(rounds: DataFrame) -> DataFrame:

@@ -41,8 +41,7 @@ def test_top_rows_are_cut_before_the_shuffle(name, spark, sf):
 @pytest.mark.parametrize("name", ["round_numbers", "adjust_scores_compound", "adjust_scores_eda"])
 def test_no_player_is_numbered_in_one_task(name, spark, sf):
     text = plan(QUERIES[name](spark, sf)).split("== Physical Plan ==")[1]
-    keys = re.findall(r"Window \[row_number\(\).*?\], \[([^\]]*)\], \[", text)
-    assert keys and all(k.startswith("_piece#") for k in keys)
+    assert "row_number()" not in text and "sum(_n" in text
 
 
 @pytest.mark.parametrize("name", ["adjust_scores", "load_weather", "book_requests", "training_set"])
