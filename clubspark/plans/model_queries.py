@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clubspark.operators import bookings, models
+from clubspark.operators import bookings, features, models
 from clubspark.plans import domain as D
 from clubspark.plans.booking_queries import _stats, training
-from clubspark.plans.registry import query
+from clubspark.plans.registry import hash_sql, query, with_views
 from clubspark.session import materialize, shared_folder
 
 
@@ -18,18 +18,65 @@ def _split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return scaled.where(F.col("split") == "train"), scaled.where(F.col("split") == "test")
 
 
+def _solved(penalty: float) -> str:
+    """Views up to ``solution`` (w, intercept): the normal equations of the training rows by Gauss-Jordan steps."""
+    names = features.FEATURES
+    columns = ", ".join(
+        f"({c} - (SELECT avg({c}) FROM adjusted_complete)) / (SELECT stddev_pop({c}) FROM adjusted_complete) AS {c}"
+        if c in features.SCALED
+        else f"CAST({c} AS DOUBLE) AS {c}"
+        for c in names
+    )
+    rows = ", ".join(
+        "[" + ", ".join([*(f"count(*) * covar_pop({a}, {b}) + {penalty if a == b else 0}" for b in names),
+                         f"count(*) * covar_pop({a}, y)"]) + "]"
+        for a in names
+    )
+    size = len(names)
+    weighed = " - ".join(["y", *(f"m[{i}][{size + 1}] * mean[{i}]" for i in range(1, size + 1))])
+    return with_views("", "adjusted_complete").replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+, scaled AS (
+  SELECT round_id, CAST(score AS DOUBLE) AS y, {hash_sql('round_id', 42)} % 10 < 8 AS train, {columns} FROM adjusted_complete
+), sums AS (
+  SELECT [{rows}] AS m, [{', '.join(f'avg({c})' for c in names)}] AS mean, avg(y) AS y FROM scaled WHERE train
+), steps AS (
+  SELECT 1 AS k, m FROM sums
+  UNION ALL
+  SELECT k + 1, list_transform(m, lambda r, i: list_transform(r, lambda v, j:
+    CASE WHEN i = k THEN v / m[k][k] ELSE v - r[k] * m[k][j] / m[k][k] END)) FROM steps WHERE k <= {size}
+), solution AS (
+  SELECT list_transform(steps.m, lambda r: r[{size + 1}]) AS w, {weighed.replace('m[', 'steps.m[')} AS intercept
+  FROM steps, sums WHERE k = {size + 1}
+)
+"""
+
+
+def _weights_sql(penalty: float) -> str:
+    listed = ", ".join(f"'{c}'" for c in features.FEATURES)
+    return _solved(penalty) + f"""
+SELECT feature, round(coefficient, 4) + 0.0 AS coefficient FROM (
+  SELECT 'intercept' AS feature, intercept AS coefficient FROM solution
+  UNION ALL SELECT unnest([{listed}]), unnest(w) FROM solution)"""
+
+
+def _coefficients(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    rows = models.coefficients(models.fit(kind, _split(spark, sf)[0]))
+    out = _weights(spark, rows, "coefficient")
+    return out.withColumn("coefficient", F.round("coefficient", 4) + F.lit(0.0))
+
+
 def _weights(spark: SparkSession, rows: list[tuple[str, float]], name: str) -> DataFrame:
     return spark.createDataFrame(rows, f"feature string, {name} double")
 
 
-@query("model_linear")
+@query("model_linear", _weights_sql(0.0))
 def model_linear(spark: SparkSession, sf: str) -> DataFrame:
-    return _weights(spark, models.coefficients(models.fit("linear", _split(spark, sf)[0])), "coefficient")
+    return _coefficients(spark, sf, "linear")
 
 
-@query("model_ridge")
+@query("model_ridge", _weights_sql(models.RIDGE_ALPHA))
 def model_ridge(spark: SparkSession, sf: str) -> DataFrame:
-    return _weights(spark, models.coefficients(models.fit("ridge", _split(spark, sf)[0])), "coefficient")
+    return _coefficients(spark, sf, "ridge")
 
 
 @query("model_forest")
@@ -56,7 +103,12 @@ def model_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return models.metrics(both)
 
 
-@query("actual_vs_predicted")
+_LINE = " + ".join(["intercept", *(f"w[{i}] * {c}" for i, c in enumerate(features.FEATURES, 1))])
+
+
+@query("actual_vs_predicted", _solved(0.0) + f"""
+SELECT CAST(y AS INTEGER) AS score, CAST(round_even({_LINE}, 0) AS INTEGER) AS predicted, count(*) AS rounds
+FROM scaled, solution WHERE NOT train GROUP BY 1, 2""")
 def actual_vs_predicted(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _split(spark, sf)
     return models.actual_vs_predicted(models.fit("linear", train).transform(test))

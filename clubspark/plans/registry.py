@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -145,6 +146,31 @@ FROM training""",
 }
 
 
+# The same views over adjusted scores.
+for _name in ("numbered", "handicaps", "training", "features", "complete"):
+    _needs, _text = VIEWS[_name]
+    for _old, _new in (("rounds", "adjusted"), *((v, f"adjusted_{v}") for v in ("numbered", "handicaps", "training", "features"))):
+        _text = re.sub(rf"(FROM|JOIN) {_old}\b", rf"\1 {_new}", _text)
+    _over = {"rounds": "adjusted", "weather": "weather"}
+    VIEWS[f"adjusted_{_name}"] = ([_over.get(v, f"adjusted_{v}") for v in _needs], _text)
+
+
+def two_sided_p_sql(t: str, df: str) -> str:
+    """P(|T| >= |t|): Simpson's rule over the density; the part beyond 40 is nothing."""
+    x = f"(i * least(abs({t}), 40) / 2000)"
+    density = f"exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2) - ln({df} * pi()) / 2 - ({df} + 1) / 2 * ln(1 + {x} * {x} / {df}))"
+    weight = "(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+    area = f"list_sum(list_transform(range(2001), lambda i: {weight} * {density}))"
+    return f"greatest(0, 1 - 2 * {area} * least(abs({t}), 40) / 6000)"
+
+
+def critical_95_sql(df: str) -> str:
+    """Half width of a 95 % interval in standard errors: the normal quantile with terms in 1/df."""
+    z = 1.959963984540054
+    terms = (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384
+    return f"({z}::DOUBLE + " + " + ".join(f"{c!r}::DOUBLE / pow({df}, {k})" for k, c in enumerate(terms, 1)) + ")"
+
+
 def with_views(select: str, *names: str) -> str:
     """A statement with the named views, and those they need, in front."""
     ordered: list[str] = []

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clubspark.operators import player_stats, stats
 from clubspark.plans import domain as D
-from clubspark.plans.registry import query, with_views
+from clubspark.plans.registry import critical_95_sql, query, two_sided_p_sql, with_views
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -146,11 +146,20 @@ def welch_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out, "mean_a", "mean_b", "std_err", "t").withColumn("df", F.round("df", 4))
 
 
-@query("welch_p_values")
+@query("welch_p_values", with_views("", "adjusted", "weather_f") + _SAMPLES + f"""
+, tested AS (
+  SELECT *, mean_a - mean_b AS diff, sqrt(e + f) AS se, diff / se AS t,
+    (e + f) * (e + f) / (e * e / (n_a - 1) + f * f / (n_b - 1)) AS df FROM samples
+)
+SELECT test, n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(se, 6) AS std_err, round(t, 6) AS t,
+  round(df, 4) AS df, round({two_sided_p_sql('t', 'df')}, 6) AS p_value,
+  round(diff - {critical_95_sql('df')} * se, 6) AS ci_low, round(diff + {critical_95_sql('df')} * se, 6) AS ci_high FROM tested""")
 def welch_p_values(spark: SparkSession, sf: str) -> DataFrame:
     """The eight tests with p value and confidence interval."""
     weather = D.weather_once(spark, sf)
-    return stats.welch_tests(D.adjusted_rounds(spark, sf, weather), weather)
+    out = stats.welch_tests(D.adjusted_rounds(spark, sf, weather), weather)
+    out = rounded(out, "mean_a", "mean_b", "std_err", "t", "p_value", "ci_low", "ci_high")
+    return out.withColumn("df", F.round("df", 4))
 
 
 @query("corr_handicap_score", """
@@ -161,7 +170,15 @@ def corr_handicap_score(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.corr_handicap_score(rounds, player_stats.handicaps(rounds), with_p=False), "r", "t")
 
 
-@query("corr_p_value")
+@query("corr_p_value", with_views("", "rounds", "handicaps") + f"""
+, correlated AS (
+  SELECT *, n - 2.0::DOUBLE AS f, r * sqrt((n - 2) / (1 - r * r)) AS t
+  FROM (SELECT count(*) AS n, corr(handicap, score) AS r FROM rounds JOIN handicaps USING (player_id))
+)
+SELECT n, round(r, 6) AS r, round(t, 6) AS t, CAST(n - 2 AS BIGINT) AS df, round({two_sided_p_sql('t', 'f')}, 6) AS p_value,
+  round(tanh(atanh(r) - {stats.Z_975} / sqrt(n - 3)), 6) AS ci_low,
+  round(tanh(atanh(r) + {stats.Z_975} / sqrt(n - 3)), 6) AS ci_high FROM correlated""")
 def corr_p_value(spark: SparkSession, sf: str) -> DataFrame:
     rounds = D.rounds(spark, sf)
-    return stats.corr_handicap_score(rounds, player_stats.handicaps(rounds))
+    out = stats.corr_handicap_score(rounds, player_stats.handicaps(rounds))
+    return rounded(out, "r", "t", "p_value", "ci_low", "ci_high")
