@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from clubspark.functions import columns as C
 from clubspark.operators.player_stats import round_counts
 from clubspark.operators.ranking import dense_ids
 from clubspark.operators.reshape import to_celsius
+from clubspark.schemas import BOOKINGS
 
 # Fixed values of the booking form and of the price list.
 BOOKING_DATES = ("2013-03-01", "2023-02-28")
@@ -152,15 +155,34 @@ def price_bookings(features: DataFrame) -> DataFrame:
     )
 
 
+def rounded_prediction(prediction: Column) -> Column:
+    """Whole strokes, halves to the even number."""
+    return F.bround(prediction).cast("double")
+
+
 def tee_time(date: Column, hour: Column) -> Column:
     return date.cast("timestamp_ntz") + F.make_dt_interval(hours=hour)
 
 
 def book(
-    requests: DataFrame, players: DataFrame, rounds: DataFrame, weather: DataFrame, temp_unit: str = "C"
+    requests: DataFrame,
+    players: DataFrame,
+    rounds: DataFrame,
+    weather: DataFrame,
+    temp_unit: str = "C",
+    predict: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Price every valid request and mark the others rejected, with the reason."""
+    """Price every valid request and mark the others rejected, with the reason.
+
+    ``predict`` adds a ``prediction`` to the features, as a model bundle does; without it no score is predicted.
+    Requests without a ``booking_time`` are booked now.
+    """
+    if "booking_time" not in requests.columns:
+        requests = requests.withColumn("booking_time", F.current_timestamp().cast("timestamp_ntz"))
     priced = price_bookings(booking_features(validate_bookings(requests), players, rounds, weather, temp_unit))
+    whole = F.lit(None).cast("double")
+    if predict is not None:
+        priced, whole = predict(priced), rounded_prediction(F.col("prediction"))
     return priced.select(
         "booking_id",
         "player_id",
@@ -168,7 +190,28 @@ def book(
         "price_paid",
         F.when(F.col("reject_reason").isNull(), "confirmed").otherwise("rejected").alias("booking_status"),
         F.col("booking_date").alias("round_date"),
+        F.when(F.col("reject_reason").isNull(), whole).alias("score_prediction"),
         "round_number",
         "booking_time",
         "reject_reason",
     )
+
+
+def book_with_newcomers(
+    requests: DataFrame, players: DataFrame, rounds: DataFrame, weather: DataFrame, **options
+) -> tuple[DataFrame, DataFrame]:
+    """(bookings, new players): unknown names are registered with the handicap they state, then booked.
+
+    A name is registered whether or not its booking is confirmed, if the stated handicap is one.
+    """
+    stated = requests.where(F.col("handicap").between(*HANDICAPS))
+    fresh = register_players(stated, players)
+    everyone = players.select("player_id", "player_name", "handicap").unionByName(
+        fresh.select("player_id", "player_name", "handicap")
+    )
+    return book(requests.drop("handicap"), everyone, rounds, weather, **options), fresh
+
+
+def booking_records(booked: DataFrame) -> DataFrame:
+    """Confirmed bookings with the columns of the stored table."""
+    return booked.where(F.col("booking_status") == "confirmed").select(*BOOKINGS.names)

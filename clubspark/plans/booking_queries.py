@@ -9,7 +9,8 @@ from clubspark.functions import columns as C
 from clubspark.operators import bookings, features, player_stats
 from clubspark.plans import domain as D
 from clubspark.plans.registry import hash_sql, query, with_views
-from clubspark.session import materialize
+from clubspark.session import materialize, shared_folder
+from clubspark.sources.tables import ParquetTables
 
 _BOOKED = """
 , booked AS (
@@ -94,7 +95,7 @@ BOOK_SQL = with_views("", "requests", "players", "handicaps", "rounds", "weather
 SELECT booking_id, player_id, CAST(booking_date AS TIMESTAMP) + to_hours(hour) AS tee_time,
   CASE WHEN reject_reason IS NULL THEN amount END AS price_paid,
   CASE WHEN reject_reason IS NULL THEN 'confirmed' ELSE 'rejected' END AS booking_status,
-  booking_date AS round_date, CAST(round_number AS INTEGER) AS round_number, booking_time, reject_reason FROM judged"""
+  booking_date AS round_date, CAST(NULL AS DOUBLE) AS score_prediction, CAST(round_number AS INTEGER) AS round_number, booking_time, reject_reason FROM judged"""
 
 
 @query("book_requests", BOOK_SQL)
@@ -104,6 +105,40 @@ def book_requests(spark: SparkSession, sf: str) -> DataFrame:
     return bookings.book(asked, players, rounds, weather)
 
 
+_NEWCOMERS = with_views("", "requests", "players", "handicaps", "rounds", "weather") + """
+, first AS (
+  SELECT player_name, handicap, booking_id FROM requests WHERE event_type = 'signup' AND player_name IS NOT NULL
+    AND player_name NOT IN (SELECT player_name FROM players WHERE registered)
+  QUALIFY row_number() OVER (PARTITION BY player_name ORDER BY booking_id) = 1
+), known AS (
+  SELECT player_id, player_name, h.handicap FROM players p LEFT JOIN handicaps h USING (player_id) WHERE registered
+  UNION ALL SELECT (SELECT max(player_id) FROM players WHERE registered) + row_number() OVER (ORDER BY booking_id), player_name, handicap FROM first
+)""" + (
+    _BOOKED.replace("'purchase'", "'signup'")
+    .replace("LEFT JOIN players p", "LEFT JOIN known p")
+    .replace("  LEFT JOIN handicaps h ON p.player_id = h.player_id\n", "")
+    .replace("h.handicap AS", "p.handicap AS")
+    .replace("FROM rounds GROUP BY 1", "FROM rounds WHERE player_id IN (SELECT player_id FROM players WHERE registered) GROUP BY 1")
+)
+
+
+@query("book_newcomers", _NEWCOMERS + """
+SELECT booking_id, player_id, CAST(booking_date AS TIMESTAMP) + to_hours(hour) AS tee_time, amount AS price_paid,
+  'confirmed' AS booking_status, booking_date AS round_date, CAST(NULL AS DOUBLE) AS score_prediction, booking_time
+FROM judged WHERE reject_reason IS NULL""")
+def book_newcomers(spark: SparkSession, sf: str) -> DataFrame:
+    """Sign-ups that book at once: registered, booked and stored, and the stored table read back."""
+    asked, weather = D.registrations(spark, sf), D.weather_once(spark, sf)
+    registered = D.players(spark, sf, existing=True).drop("handicap")
+    rounds = materialize(D.rounds(spark, sf, weather).join(registered, "player_id", "left_semi"))
+    players = registered.join(player_stats.handicaps(rounds), "player_id", "left")
+    booked, fresh = bookings.book_with_newcomers(asked, players, rounds, weather)
+    store = ParquetTables(spark, shared_folder(spark))
+    store.append(bookings.booking_records(booked), "bookings")
+    store.append(fresh, "players")
+    return store.read("bookings")
+
+
 def _training_set(spark: SparkSession, sf: str, adjusted: bool = False) -> DataFrame:
     weather = D.weather_once(spark, sf)
     rounds = materialize(D.adjusted_rounds(spark, sf, weather) if adjusted else D.rounds(spark, sf, weather))

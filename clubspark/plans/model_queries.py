@@ -122,13 +122,5 @@ def score_bookings(spark: SparkSession, sf: str) -> DataFrame:
     bundle = models.ModelBundle.load(spark, path)
     asked, weather = D.booking_requests(spark, sf), D.weather_once(spark, sf)
     players, rounds = _stats(spark, sf, weather, asked)
-    frame = bookings.booking_features(bookings.validate_bookings(asked), players, rounds, weather)
-    priced = bookings.price_bookings(frame)
-    valid = F.col("reject_reason").isNull()
-    return bundle.predict(priced).select(
-        "booking_id",
-        "player_id",
-        "price_paid",
-        F.when(valid, models.rounded_prediction(F.col("prediction"))).alias("score_prediction"),
-        "reject_reason",
-    )
+    booked = bookings.book(asked, players, rounds, weather, predict=bundle.predict)
+    return booked.select("booking_id", "player_id", "price_paid", "score_prediction", "reject_reason")

@@ -104,6 +104,22 @@ def test_booking(spark, venue):
     assert {got[i]["booking_status"] for i in (2, 3, 4, 5)} == {"rejected"}
 
 
+def test_newcomers_are_registered_and_booked(spark, venue):
+    asked = requests(spark, (1, "bo", WED, 10), (2, " cy", WED, 10), (3, "di", SAT, 10), (4, "ed", WED, 10), (5, "cy", WED, 12))
+    asked = asked.drop("booking_time").withColumn("handicap", F.col("booking_id") * 10.0 - 10)
+    asked = asked.withColumn("handicap", F.when(F.col("booking_id") != 4, F.col("handicap")).otherwise(36.5))
+    booked, fresh = bookings.book_with_newcomers(
+        asked, *venue, predict=lambda df: df.withColumn("prediction", F.col("handicap") + 80.5)
+    )
+    assert {(r["player_id"], r["player_name"], r["handicap"]) for r in fresh.collect()} == {(3, "Cy", 10.0), (4, "Di", 20.0)}
+    got = {r["booking_id"]: r for r in booked.collect()}
+    assert [got[i]["reject_reason"] for i in range(1, 6)] == ["handicap", None, "weather", "player", None]
+    assert (got[2]["player_id"], got[2]["score_prediction"], got[2]["round_number"]) == (3, 90.0, 1)
+    assert got[2]["booking_time"] is not None and got[3]["score_prediction"] is None
+    stored = bookings.booking_records(booked)
+    assert {r["booking_id"] for r in stored.collect()} == {2, 5} and stored.columns == bookings.BOOKINGS.names
+
+
 def test_earliest_registration_wins(spark):
     asked = spark.createDataFrame(
         [(7, "cy ", 9.0), (3, " CY", 5.5), (4, "ann o'neil", 1.0), (9, "di", 2.0)],
@@ -115,7 +131,7 @@ def test_earliest_registration_wins(spark):
 
 
 def test_whole_strokes_round_to_even(spark):
-    from clubspark.operators.models import rounded_prediction
+    from clubspark.operators.bookings import rounded_prediction
 
     df = spark.createDataFrame([(88.5,), (89.5,)], "p double")
     assert [r[0] for r in df.select(rounded_prediction(F.col("p"))).collect()] == [88.0, 90.0]
