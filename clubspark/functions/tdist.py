@@ -33,20 +33,33 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     return value
 
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    if x <= 0.0 or x >= 1.0:
+def _log_gamma_ratio(a: float, b: float) -> float:
+    """log(gamma(a + b) / gamma(a)); for a half and a large a by its series, where differences lose digits."""
+    if b == 0.5 and a > 1e3:
+        return 0.5 * math.log(a) - 1.0 / (8.0 * a) + 1.0 / (192.0 * a**3)
+    return math.lgamma(a + b) - math.lgamma(a)
+
+
+def incomplete_beta(a: float, b: float, x: float, rest: float | None = None) -> float:
+    """I_x(a, b); ``rest`` is 1 - x where the caller knows it with more digits."""
+    rest = 1.0 - x if rest is None else rest
+    if x <= 0.0 or rest <= 0.0:
         return 0.0 if x <= 0.0 else 1.0
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    )
+    log_x = math.log1p(-rest) if rest < 0.5 else math.log(x)
+    front = math.exp(_log_gamma_ratio(a, b) - math.lgamma(b) + a * log_x + b * math.log(rest))
     if x < (a + 1.0) / (a + b + 2.0):
         return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+    return 1.0 - front * _beta_fraction(b, a, rest) / b
 
 
 def two_sided_p(t: float, df: float) -> float:
-    """P(|T| >= |t|)."""
-    return incomplete_beta(df / 2.0, 0.5, df / (df + t * t))
+    """P(|T| >= |t|); above 10 million degrees of freedom the normal tail with its first term in 1/df."""
+    if df > 1e7:
+        x = abs(t)
+        density = math.exp(-x * x / 2.0) / math.sqrt(2.0 * math.pi)
+        return math.erfc(x / math.sqrt(2.0)) + density * (x**3 + x) / (2.0 * df)
+    whole = df + t * t
+    return incomplete_beta(df / 2.0, 0.5, df / whole, t * t / whole)
 
 
 def upper_quantile(tail: float, df: float) -> float:

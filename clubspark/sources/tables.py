@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,29 @@ from pyspark.sql import DataFrame, SparkSession
 from clubspark import schemas
 
 
+def literal(value: object) -> str:
+    """A value as an SQL literal; quotes in texts are doubled."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "TRUE" if value else "FALSE"
+    if isinstance(value, (int, float)):
+        return repr(value)
+    if isinstance(value, (datetime.date, datetime.datetime)):
+        kind = "TIMESTAMP" if isinstance(value, datetime.datetime) else "DATE"
+        return f"{kind} '{value}'"
+    if isinstance(value, str):
+        return "'" + value.replace("'", "''") + "'"
+    raise TypeError(f"no literal for {type(value).__name__}")
+
+
+def with_literals(sql: str, args: dict) -> str:
+    """``sql`` with its ``:name`` parameters filled in, outside quoted texts and casts."""
+    parts = re.split(r"('(?:[^']|'')*')", sql)
+    parts[::2] = [re.sub(r"(?<!:):(\w+)", lambda m: literal(args[m[1]]), part) for part in parts[::2]]
+    return "".join(parts)
+
+
 class ParquetTables:
     """Tables as parquet folders below one root."""
 
@@ -60,8 +84,9 @@ class JdbcTables:
             }
         return options
 
-    def query_options(self, sql: str) -> dict[str, str]:
-        return {**self.options, "query": sql}
+    def query_options(self, sql: str, args: dict | None = None) -> dict[str, str]:
+        """Options of a query; ``:name`` parameters go in as quoted literals, tables in braces by their names."""
+        return {**self.options, "query": with_literals(re.sub(r"{(\w+)}", r"\1", sql), args or {})}
 
     def write_options(self, name: str, batch_size: int = 10000) -> dict[str, str]:
         return {**self.options, "dbtable": name, "batchsize": str(batch_size)}
@@ -69,8 +94,13 @@ class JdbcTables:
     def read(self, name: str, **split) -> DataFrame:
         return self.spark.read.format("jdbc").options(**self.read_options(name, **split)).load()
 
-    def query(self, sql: str) -> DataFrame:
-        return self.spark.read.format("jdbc").options(**self.query_options(sql)).load()
+    def query(self, sql: str, args: dict | None = None) -> DataFrame:
+        return self.spark.read.format("jdbc").options(**self.query_options(sql, args)).load()
 
     def append(self, df: DataFrame, name: str) -> None:
         df.write.format("jdbc").options(**self.write_options(name)).mode("append").save()
+
+    def replace(self, df: DataFrame, name: str) -> None:
+        """Replace the rows and keep the table, its keys and rights."""
+        options = {**self.write_options(name), "truncate": "true"}
+        df.write.format("jdbc").options(**options).mode("overwrite").save()

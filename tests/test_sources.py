@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 
 from clubspark import schemas
@@ -66,6 +68,10 @@ def test_jdbc_options(spark):
     assert "numPartitions" not in db.read_options("rounds")
     assert db.query_options("SELECT 1")["query"] == "SELECT 1"
     assert db.write_options("rounds")["batchsize"] == "10000"
+    asked = db.query_options("SELECT ':n', a::int FROM {players} WHERE name = :name AND born < :day", {"name": "O'Neil", "day": datetime.date(2000, 1, 2)})
+    assert asked["query"] == "SELECT ':n', a::int FROM players WHERE name = 'O''Neil' AND born < DATE '2000-01-02'"
+    with pytest.raises(KeyError):
+        db.query_options("SELECT :missing")
 
 
 class Session:

@@ -31,6 +31,14 @@ def test_t_distribution(t, df, p):
         assert tdist.upper_quantile(p, df) == pytest.approx(t, rel=1e-3)
 
 
+def test_t_distribution_nears_the_normal():
+    """Very many degrees of freedom lose no digits."""
+    for t in (0.1, 1.0, 3.0, 8.0):
+        assert tdist.two_sided_p(t, 1e12) == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-6, abs=1e-14)
+        assert tdist.two_sided_p(t, 0.999e7) == pytest.approx(tdist.two_sided_p(t, 1.001e7), rel=1e-5, abs=1e-14)
+    assert tdist.two_sided_p(1.5, 1999.9) == pytest.approx(tdist.two_sided_p(1.5, 2000.1), rel=1e-6)
+
+
 def test_box(rounds, scores):
     q1, q2, q3 = np.percentile(scores, [25, 50, 75])
     lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
