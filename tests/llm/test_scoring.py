@@ -269,3 +269,45 @@ def test_model_is_a_distribution():
     frequent = np.exp(class_logs[0][ids // 32] + word_logs[back, ids % 32]).sum()
     rare = np.exp(class_logs[0][16:]).sum()  # shares of counts inside a rare class add up to one
     assert frequent + rare == pytest.approx(1.0, abs=1e-5)
+
+
+def test_every_training_word_has_an_output_of_its_own():
+    """40,000 words: all have ids, as contexts too, and their outputs and the unknown ones add up to one under any weights."""
+    rng = np.random.default_rng(5)
+    words = [b"%dw" % i for i in range(40_000)]
+    vocabulary = np.zeros(len(words), language_model._WORD)
+    vocabulary["word"] = [language_model.word_hash(w) for w in words]
+    vocabulary["count"] = 1 + 100_000 // np.arange(1, len(words) + 1)
+    vocabulary["class"] = [language_model.rare_class(w) for w in words]
+    top = [{"word": int(r["word"]), "count": int(r["count"]), "class": int(r["class"])} for r in vocabulary[:512]]
+    mass = np.bincount(vocabulary["class"], vocabulary["count"], 32)
+    kinds = np.bincount(vocabulary["class"], minlength=32)
+    classes = [{"class": j, "mass": int(mass[j]), "kinds": int(kinds[j])} for j in range(32)]
+    model = language_model._start(top, classes, vocabulary)
+    ids = model.ids(words, {})
+    assert len(set(ids.tolist())) == len(words) and model.base > len(words)
+    assert (model.counts[ids] == vocabulary["count"]).all()
+    assert model.ids([b"never seen"], {})[0] == model.unknown[language_model.rare_class(b"never seen")]
+    model.class_weights += rng.normal(size=model.class_weights.shape).astype(np.float32)
+    model.word_weights += rng.normal(size=model.word_weights.shape).astype(np.float32)
+    model.decision_weights += rng.normal(size=model.decision_weights.shape).astype(np.float32)
+    outcomes = np.concatenate([ids, model.unknown])
+    # without weights, shares inside a rare class are those of counts
+    plain_model = language_model._start(top, classes, vocabulary)
+    inside = ids[(vocabulary["class"] == 7) & (np.arange(len(words)) >= 512)]
+    assert np.ptp(plain_model.score([np.array([x]) for x in inside])) < 1e-4
+    for one, two in ((3, 540), (int(ids[30_000]), int(ids[20_000]))):
+        texts = [np.array([two, one, x]) for x in outcomes]
+        before = model.score([np.array([two, one])])[0]
+        logs = model.score(texts) - before + np.log10(model.counts[outcomes] + language_model.ADDED)
+        assert (10.0**logs).sum() == pytest.approx(1.0, abs=1e-4)
+    # a rare word is predicted from a rare word
+    a, b, c = (int(ids[i]) for i in (30_000, 30_001, 30_002))
+    model = language_model._start(top, classes, vocabulary)
+    before = model.score([np.array([a, b]), np.array([a, c])])
+    trainer = language_model._Decider(model.decision_weights)
+    for _ in range(20):
+        for _, rows, logit, side in model.decisions(np.full(50, b), np.full(50, a), np.full(50, a)):
+            trainer.step(rows, logit, side)
+    after = model.score([np.array([a, b]), np.array([a, c])])
+    assert after[0] - before[0] > after[1] - before[1]
