@@ -51,18 +51,66 @@ def canonical(url: Column) -> Column:
 
 
 def declared(html: Column) -> Column:
-    """Array of the addresses that a page names as its own: canonical link, refresh, og:url."""
+    """Array of the addresses that a page names as its own, as they stand there: canonical link, refresh, og:url."""
     tag = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\s[^>]*>"), F.lit(0))
     own = F.filter(
         tag, lambda t: F.lower(t).rlike(r"""(?s)rel\s*=\s*["']?canonical|http-equiv\s*=\s*["']?refresh|property\s*=\s*["']?og:url""")
     )
     address = r"""(?is)(?:href|content)\s*=\s*["']?(?:\s*\d+\s*;\s*url\s*=\s*["']?)?([a-z][a-z0-9+.-]*://[^"'\s>]+)"""
-    return F.filter(F.transform(own, lambda t: F.regexp_extract(t, address, 1)), lambda a: a != "")
+    refresh = r"""(?is)\scontent\s*=\s*["']?\s*[\d.]+\s*[;,]\s*url\s*=\s*["']?\s*([^"'\s>]+)"""
+    link, og = (rf"""(?is)\s{name}\s*=\s*["']?\s*([^"'\s>]+)""" for name in ("href", "content"))
+
+    def named(t: Column) -> Column:
+        low = F.lower(t)
+        other = (
+            F.when(low.rlike(r"""(?s)http-equiv\s*=\s*["']?refresh"""), F.regexp_extract(t, refresh, 1))
+            .when(low.rlike(r"(?s)^<link"), F.regexp_extract(t, link, 1))
+            .when(low.rlike(r"""(?s)property\s*=\s*["']?og:url"""), F.regexp_extract(t, og, 1))
+            .otherwise("")
+        )
+        whole = F.regexp_extract(t, address, 1)
+        return F.when(whole != "", whole).otherwise(other)
+
+    return F.filter(F.transform(own, named), lambda a: a != "")
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with / without its segments . and .."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda acc, x: F.when(x == ".", acc)
+        .when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1))))
+        .otherwise(F.array_append(acc, x)),
+    )
+    return F.concat(F.array_join(kept, "/"), F.when(path.rlike(r"(?s)(^|/)\.\.?$"), "/").otherwise(""))
+
+
+def resolve(url: Column, target: Column) -> Column:
+    """The whole address that target means on the page url; null for other schemes, such as mailto:."""
+    origin, path = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), path_of(url)
+    tail = F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    own = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path, r"(?s)^/(.*/)?[^/]*$", 1))
+    return (
+        F.when(target.rlike(r"(?is)^[a-z][a-z0-9+.-]*://"), target)
+        .when(target.rlike(r"(?is)^[a-z][a-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(target.startswith("//"), F.concat(F.regexp_extract(url, "(?s)^(.*?:)//", 1), target))
+        .when(target.startswith("/"), F.concat(origin, _without_dots(own), tail))
+        .when(target.startswith("?"), F.concat(origin, path, target))
+        .when(target.startswith("#"), F.concat(F.regexp_extract(url, "(?s)^([^#]*)", 1), target))
+        .otherwise(F.concat(origin, _without_dots(F.concat(folder, own)), tail))
+    )
 
 
 def aliases(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
-    """Edges (u, v) between spellings of addresses: a page's own and the one it declares; redirects (source, target) too."""
+    """Edges (u, v) between spellings of addresses: a page's own and the one it declares; redirects (source, target) too.
+
+    What a page declares is read relative to its own address; <base> is not looked at.  Redirects are whole addresses.
+    """
     named = pages.where(F.col("url").contains("://")).select("url", F.explode(declared(F.coalesce("html", F.lit("")))).alias("target"))
+    named = named.select("url", resolve(F.col("url"), F.col("target")).alias("target")).where("target IS NOT NULL")
     edges = named.select(canonical(F.col("url")).alias("u"), canonical(F.col("target")).alias("v"))
     if redirects is not None:
         both = F.col("source").contains("://") & F.col("target").contains("://")

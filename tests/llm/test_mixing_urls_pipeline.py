@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -101,6 +102,33 @@ def test_url_verdicts(spark):
     assert urls.judge(pages, moves).count() == len(PAGES) and urls.judge(pages.limit(0)).count() == 0
 
 
+def test_relative_declarations_make_aliases(spark):
+    link, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="{}">'
+    base = "https://example.com/a/b/page.html?q=1#top"
+    cases = [
+        (link, "/de/x", "https://example.com/de/x", "block"),
+        (refresh, "0; url=/de/x", "https://example.com/de/x", "block"),
+        (refresh, "5;URL=../../de/y?z=2", "https://example.com/de/y?z=2", "block"),
+        (link, "//sub.example.com/de/z", "https://sub.example.com/de/z", "block"),
+        (link, "./x/../../../../de/w", "https://example.com/de/w", "block"),
+        (link, "other", "https://example.com/a/b/other", "allow"),
+        (link, "?q=2", "https://example.com/a/b/page.html?q=2", "allow"),
+        (link, "#part", "https://example.com/a/b/page.html?q=1#part", "allow"),
+        ('<meta property="og:url" content="{}">', "/de/v", "https://example.com/de/v", "block"),
+        (refresh, "5", None, "allow"),
+        (link, "mailto:de@example.com", None, "allow"),
+    ]
+    rows = [(i, base.replace("page", f"page{i}"), tag.format(value)) for i, (tag, value, _, _) in enumerate(cases)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = pages.select("page_id", F.explode(urls.declared(F.col("html"))).alias("target"), "url")
+    got = {r.page_id: r.whole for r in found.select("page_id", urls.resolve(F.col("url"), F.col("target")).alias("whole")).collect()}
+    for i, (_, _, whole, _) in enumerate(cases):
+        assert got.get(i) == (whole and whole.replace("page.", f"page{i}.")), cases[i]
+    assert {r.page_id: r.verdict for r in urls.judge(pages).collect()} == {i: c[3] for i, c in enumerate(cases)}
+    bare = spark.createDataFrame([("https://example.com", "de/x")], "url string, target string")
+    assert bare.select(urls.resolve(F.col("url"), F.col("target"))).first()[0] == "https://example.com/de/x"
+
+
 def test_host_and_path_of_all_pages(spark, sf):
     for r in table(spark, sf, "pages").join(QUERIES["op6_url_filter"](spark, sf), "page_id").collect():
         m = re.search(r"://([^/?#]*)([^?#]*)", r.url)
