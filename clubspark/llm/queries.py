@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clubspark.llm import bpe, exact_dedup, language_model, mixing, quality, repeats, secret_scan, simhash, toxicity, urls
+from clubspark.llm import (
+    bpe,
+    conversation_repair,
+    conversation_trie,
+    exact_dedup,
+    language_model,
+    mixing,
+    pii,
+    quality,
+    repeats,
+    secret_scan,
+    simhash,
+    toxicity,
+    urls,
+)
 from clubspark.llm.common import table
 
 
@@ -63,6 +77,24 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    spans = pii.span_text(F.col("kinds"), F.col("starts"), F.col("ends"))
+    base = F.filter(spans, lambda s: F.split_part(s, F.lit(":"), F.lit(1)).isin(*pii.KINDS))
+    counts = [F.expr(f"CAST(size(filter(kinds, k -> k = '{kind}')) AS BIGINT) AS n_{kind}") for kind in pii.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(spans, ",").alias("spans")
+    )
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.rebuilt_tree(table(spark, sf_dir, "conversations"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 _OP2 = f"""
 WITH sizes AS (
   SELECT source, CAST(sum(coalesce(strlen(text), 0) + 1) AS DOUBLE) AS size FROM documents GROUP BY source),
@@ -128,6 +160,40 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
   doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
+# crc32 over the decimal digits: eight shifts a byte, the polynomial a fixed value.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT],
+  flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END), 4294967295)"""
+_OP12 = f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, {_CRC} % {conversation_trie.HEADS} AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+parts AS (
+  SELECT c.conv_id, t.place, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % {conversation_trie.FAMILY}
+    AND t.place <= c.h
+  UNION ALL SELECT t.conv_id, {conversation_trie.HEADS} + t.place, t.role, t.text FROM turns t JOIN convs c USING (conv_id) WHERE t.place > c.h),
+rebuilt AS (
+  SELECT c.conv_id, coalesce(list({{'role': role, 'text': text}} ORDER BY place) FILTER (WHERE place IS NOT NULL), []) AS seq
+  FROM convs c LEFT JOIN parts p USING (conv_id) GROUP BY c.conv_id),
+beginnings AS (SELECT conv_id, d, seq[1:d] AS prefix, len(seq) AS n FROM rebuilt, unnest(range(0, len(seq) + 1)) AS r(d)),
+nodes AS (
+  SELECT prefix, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256
+  FROM beginnings GROUP BY prefix, d),
+kids AS (SELECT prefix[1:depth - 1] AS prefix, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+whole AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children,
+    CASE WHEN n.depth > 0 THEN (n_convs - 1) * length(n.prefix[n.depth].text) ELSE 0 END AS saved
+  FROM nodes n LEFT JOIN kids k ON n.prefix = k.prefix),
+below AS (
+  SELECT prefix[1:k] AS prefix, sum(saved) AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves
+  FROM whole, unnest(range(0, depth + 1)) AS r(k) GROUP BY ALL)
+SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, b.leaves AS n_leaves,
+  CAST(b.saved AS BIGINT) AS saved_tokens, w.ends_sha256
+FROM whole w JOIN below b ON w.prefix = b.prefix LEFT JOIN nodes p ON w.depth > 0 AND p.prefix = w.prefix[1:w.depth - 1]"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_mix_sources": op2_mix_sources,
@@ -139,10 +205,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": op8_language_model,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_repeated_passages": op10_repeated_passages,
+    "op11_pii": op11_pii,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mix_sources": _OP2,
     "op6_url_filter": _OP6,
     "op9_exact_dedup": _OP9,
+    "op12_conversation_trie": _OP12,
 }

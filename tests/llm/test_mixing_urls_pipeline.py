@@ -20,7 +20,7 @@ from tests.llm.test_dedup import simhash_expected
 def test_matches_reference(name, spark):
     folder = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     df = QUERIES[name](spark, folder)
     found = con.execute(ORACLES[name])
