@@ -36,6 +36,9 @@ PREFIXES = (4, 5, 6)
 #: Expected number of such segments by chance in a clean text below which a passage is significant.
 EXPECTED = 0.01
 
+#: Judged words that a worker keeps at most.
+CACHE = 60_000
+
 _STRIP = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum()) + "¿¡«»„“”‘’…–—"
 
 
@@ -86,7 +89,7 @@ class Model:
 
     def scan(self, text: bytes) -> tuple[int, list[tuple[int, int, float]]]:
         chunks = text.split()
-        if len(self.cache) > 500_000:
+        if len(self.cache) > CACHE:
             self.cache.clear()
         cache = self.cache
         for chunk in chunks:
