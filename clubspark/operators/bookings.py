@@ -38,6 +38,7 @@ def validate_bookings(requests: DataFrame, handicap_col: str | None = None) -> D
     date, hour = F.col("booking_date"), F.col("hour")
     first, last = (F.lit(d).cast("date") for d in BOOKING_DATES)
     rules = [
+        ("booking_id", F.col("booking_id").isNull()),
         ("date", date.isNull() | ~date.between(first, last)),
         ("hour", hour.isNull() | ~hour.between(*BOOKING_HOURS)),
     ]

@@ -108,10 +108,10 @@ def player_stats(players: DataFrame, rounds: DataFrame) -> DataFrame:
 
 
 def handicap_for_player(rounds: DataFrame, player_id: int) -> DataFrame:
-    """The handicap of one player: a filter on the key, then the same rule (null without rounds)."""
+    """The handicap of one player: a filter on the key, then the same rule (null without scores)."""
     mine = latest_rounds(rounds.where(F.col("player_id") == player_id), LATEST)
     total = F.sum(differential_tenths(F.col("score")))
-    n = F.count(F.lit(1))
+    n = F.count("score")
     return mine.agg(
         F.lit(player_id).cast("bigint").alias("player_id"),
         F.when(n > 0, handicap_tenths(total, F.greatest(n, F.lit(1))) / F.lit(10.0)).alias("handicap"),

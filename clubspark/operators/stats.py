@@ -258,7 +258,8 @@ def welch_samples(rounds: DataFrame, weather: DataFrame, temp_unit: str = "C", w
     are ranked; the other sample is the rest.
     """
     w = convert_units(weather, temp_unit, wind_unit)
-    counts = rounds.groupBy("round_date", "score").agg(F.count(F.lit(1)).alias("n"))
+    scored = F.col("score").isNotNull()  # a round without a score is in no sample
+    counts = rounds.where(scored).groupBy("round_date", "score").agg(F.count(F.lit(1)).alias("n"))
     days = counts.join(F.broadcast(w), F.col("round_date") == F.col("date"), "left").withColumn(
         "dow", C.weekday_int(F.col("round_date"))
     )
@@ -277,7 +278,7 @@ def welch_samples(rounds: DataFrame, weather: DataFrame, temp_unit: str = "C", w
     stacked = one.select(F.explode(F.array(*labelled)).alias("r")).select("r.test", "r.grp", "r.v.*")
 
     early = first_rounds(rounds.select("player_id", "round_date", "round_id", "score"), EXPERIENCED - 1)
-    early = early.agg(*_sums(F.lit(1).cast("bigint")))
+    early = early.where(scored).agg(*_sums(F.lit(1).cast("bigint")))
     test = F.lit("rounds_played").alias("test")
     less = early.select(test, F.lit("a").alias("grp"), *[(-F.col(c)).alias(c) for c in ("n", "s", "ss")])
     second = early.select(test, F.lit("b").alias("grp"), "n", "s", "ss")

@@ -207,7 +207,7 @@ SELECT n.player_id, round_id, round_date, score, CAST(round_number AS BIGINT) AS
 FROM numbered n JOIN handicaps h ON n.player_id = h.player_id
 QUALIFY row_number() OVER (PARTITION BY n.player_id ORDER BY round_number DESC) = 1""", ("numbered", "handicaps"))
 def best_per_player(spark: SparkSession, sf: str) -> DataFrame:
-    rounds = D.rounds(spark, sf)
+    rounds = materialize(D.rounds(spark, sf))
     return R.best_per_player(rounds, player_stats.handicaps(rounds))
 
 

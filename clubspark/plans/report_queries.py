@@ -49,7 +49,8 @@ SELECT player_name, {_CONDITIONS} AS conditions, count(*) AS rounds_played, avg(
 FROM players p JOIN rounds r ON p.player_id = r.player_id JOIN weather_f ON round_date = date
 GROUP BY 1, 2 HAVING count(*) >= 3""", ("players", "rounds", "weather_f"))
 def performers_by_conditions(spark: SparkSession, sf: str) -> DataFrame:
-    return R.performers_by_conditions(D.players(spark, sf), D.rounds(spark, sf), D.weather(spark, sf))
+    weather = D.weather_once(spark, sf)
+    return R.performers_by_conditions(D.players(spark, sf), D.rounds(spark, sf, weather), weather)
 
 
 @query("latest_booking", """
@@ -131,7 +132,8 @@ def score_histogram(spark: SparkSession, sf: str) -> DataFrame:
 SELECT player_id, round_id, score, round_date, avg_temp, wind_speed, precipitation
 FROM rounds LEFT JOIN weather ON round_date = date""", ("rounds", "weather"))
 def player_history(spark: SparkSession, sf: str) -> DataFrame:
-    return R.player_history(D.rounds(spark, sf), D.weather(spark, sf))
+    weather = D.weather_once(spark, sf)
+    return R.player_history(D.rounds(spark, sf, weather), weather)
 
 
 @query("top_scores", "SELECT * FROM rounds ORDER BY score, round_id LIMIT 10", ("rounds",))
@@ -146,12 +148,14 @@ FROM rounds JOIN weather_f ON round_date = date WHERE {_POOR}"""
 
 @query("top_scores_poor", _POOR_ROUNDS + " ORDER BY score, round_id LIMIT 10", ("rounds", "weather_f"))
 def top_scores_poor(spark: SparkSession, sf: str) -> DataFrame:
-    return R.top_scores(R.poor_condition_rounds(D.rounds(spark, sf), D.weather(spark, sf)))
+    weather = D.weather_once(spark, sf)
+    return R.top_scores(R.poor_condition_rounds(D.rounds(spark, sf, weather), weather))
 
 
 @query("worst_scores_poor", _POOR_ROUNDS + " ORDER BY score DESC, round_id LIMIT 10", ("rounds", "weather_f"))
 def worst_scores_poor(spark: SparkSession, sf: str) -> DataFrame:
-    return R.top_scores(R.poor_condition_rounds(D.rounds(spark, sf), D.weather(spark, sf)), best=False)
+    weather = D.weather_once(spark, sf)
+    return R.top_scores(R.poor_condition_rounds(D.rounds(spark, sf, weather), weather), best=False)
 
 
 @query("top_handicaps", "SELECT player_id, handicap FROM handicaps ORDER BY handicap, player_id LIMIT 10", ("handicaps",))

@@ -33,6 +33,17 @@ def with_literals(sql: str, args: dict) -> str:
     return "".join(parts)
 
 
+def hadoop_path(spark: SparkSession, path: str) -> tuple:
+    """The path and its file system, on any store that Spark can read."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def files_below(spark: SparkSession, path: str) -> bool:
+    found, system = hadoop_path(spark, path)
+    return system.exists(found)
+
+
 class ParquetTables:
     """Tables as parquet folders below one root."""
 
@@ -43,8 +54,7 @@ class ParquetTables:
         return f"{self.root}/{name}{self.suffix}"
 
     def exists(self, name: str) -> bool:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        return hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+        return files_below(self.spark, self.path(name))
 
     def read(self, name: str) -> DataFrame:
         """The whole table; a declared table never written reads as empty."""

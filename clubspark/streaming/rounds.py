@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from clubspark import schemas
 from clubspark.operators import bookings, player_stats
 from clubspark.operators.ranking import latest_rounds
 from clubspark.operators.scoring import adjust_scores
-from clubspark.sources.tables import ParquetTables
+from clubspark.sources.tables import ParquetTables, files_below
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType | str, max_files: int | None = None) -> DataFrame:
@@ -90,28 +94,127 @@ class PlayerStatsStream:
         return copy
 
 
+class PlayerStateStream:
+    """One row of state per player, however many rounds and micro-batches: the count and the 20 latest rounds.
+
+    Each task first reduces its rounds to a count and 20 rows per player, so that a player who holds a third of a
+    batch sends 20 rows a task to the operator that keeps the state.  Late rounds find their place among the
+    latest ones.  The state lives in the checkpoint and is read from there; a batch that is repeated starts from the
+    state before it.
+    """
+
+    STATE = "rounds long, days array<long>, ids array<long>, scores array<int>"
+    PARTS = "player_id long, day long, round_id long, score int, rounds long"
+
+    def __init__(self, spark: SparkSession, checkpoint: str, keep: int = player_stats.LATEST):
+        self.spark, self.checkpoint, self.keep = spark, checkpoint.rstrip("/"), keep
+
+    def reduced(self, rounds: DataFrame) -> DataFrame:
+        """Per task and player the latest rounds, the first of them with the count of all."""
+        keep = self.keep
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = None
+            for batch in batches:
+                batch = batch.assign(rounds=1)
+                held = batch if held is None else pd.concat([held, batch])
+                held = held.sort_values(["day", "round_id"], ascending=False, kind="stable")
+                by_player = held.groupby("player_id", dropna=False, sort=False)
+                place, total = by_player.cumcount(), by_player["rounds"].transform("sum")
+                held = held.assign(rounds=total.where(place == 0, 0))[place < keep]
+            if held is not None:
+                yield held
+
+        narrow = rounds.select("player_id", F.unix_date("round_date").cast("long").alias("day"), "round_id", F.col("score").cast("int").alias("score"))
+        return narrow.mapInPandas(run, self.PARTS)
+
+    def updates(self, rounds: DataFrame) -> DataFrame:
+        """(player_id, rounds, days, ids, scores) of the players of each micro-batch, after it."""
+        keep = self.keep
+
+        def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+            total, days, ids, scores = state.get if state.exists else (0, [], [], [])
+            best = list(zip(days, ids, scores))
+            for part in parts:
+                total += int(part["rounds"].sum())
+                values = [None if pd.isna(x) else int(x) for x in part["score"]]
+                best += zip(map(int, part["day"]), map(int, part["round_id"]), values)
+                best = sorted(best, key=lambda x: x[:2], reverse=True)[:keep]
+            columns = [list(c) for c in zip(*best)]
+            state.update((total, *columns))
+            yield pd.DataFrame({"player_id": [key[0]], "rounds": [total]} | {n: [c] for n, c in zip(("days", "ids", "scores"), columns)})
+
+        grouped = self.reduced(rounds).groupBy("player_id")
+        return grouped.applyInPandasWithState(update, f"player_id long, {self.STATE}", self.STATE, "update", GroupStateTimeout.NoTimeout)
+
+    def start(self, rounds: DataFrame, available_now: bool = True) -> StreamingQuery:
+        writer = self.updates(rounds).writeStream.format("noop").outputMode("update")
+        writer = writer.option("checkpointLocation", self.checkpoint)
+        if available_now:
+            writer = writer.trigger(availableNow=True)
+        return writer.start()
+
+    def state(self) -> DataFrame:
+        """(player_id, rounds, days, ids, scores), one row per player, as of the last finished batch."""
+        stored = self.spark.read.format("statestore").load(self.checkpoint)
+        return stored.select("key.player_id", "value.groupState.*")
+
+    def stats(self, players: DataFrame) -> DataFrame:
+        state = self.state()
+        latest = state.select("player_id", F.explode("scores").alias("score"))
+        return player_stats.player_stats_from(players, state.select("player_id", "rounds"), latest)
+
+
 class BookingStream:
     """Prices and confirms or rejects booking requests as they arrive, each booking_id once.
 
-    A request is answered however late it comes.  Of a micro-batch one row per id is kept, ids booked by other
-    batches are left out, and the rest is written below the batch number, so a repeated
-    batch replaces itself.  Players with handicap, round counts (player_id, rounds) and weather are static sides.
+    A request is answered however late it comes.  Bookings are stored by ranges of ids; a micro-batch reads
+    back only the ranges that its own ids fall in.  Of a batch the earliest request per id is kept, ids
+    booked by other batches are left out, and the rest is written below its ranges and the batch number, so a repeated
+    batch replaces itself.  Requests without an id are stored as rejected, each of them.
+    Players with handicap, round counts (player_id, rounds) and weather are static sides.
     """
 
-    def __init__(self, spark: SparkSession, root: str, players: DataFrame, counts: DataFrame, weather: DataFrame):
+    def __init__(
+        self, spark: SparkSession, root: str, players: DataFrame, counts: DataFrame, weather: DataFrame, ids_per_range: int = 1_000_000
+    ):
         self.spark = spark
         self.tables = ParquetTables(spark, root)
         self.sides = (players, counts, weather)
+        self.ids_per_range = ids_per_range
+
+    def _range(self) -> Column:
+        return F.floor(F.col("booking_id") / self.ids_per_range)
+
+    def _path(self, number: int) -> str:
+        return f"{self.tables.path('bookings')}/ids={number}"
 
-    def _stored(self) -> DataFrame:
-        return self.spark.read.parquet(self.tables.path("bookings"))
+    def booked_elsewhere(self, requests: DataFrame, batch_id: int) -> DataFrame | None:
+        """Ids of other batches in the ranges of the requests, read from the folders of these ranges; None if there are none."""
+        numbers = [r[0] for r in requests.where(F.col("booking_id").isNotNull()).select(self._range()).distinct().collect()]
+        paths = [self._path(n) for n in sorted(numbers) if files_below(self.spark, self._path(n))]
+        if not paths:
+            return None
+        stored = self.spark.read.option("basePath", self.tables.path("bookings")).parquet(*paths)
+        return stored.where(F.col("batch") != batch_id).select("booking_id")
 
     def update(self, batch: DataFrame, batch_id: int) -> None:
-        once = batch.dropDuplicates(["booking_id"])
-        if self.tables.exists("bookings"):
-            others = self._stored().where(F.col("batch") != batch_id).select("booking_id")
-            once = once.join(others, "booking_id", "left_anti")
-        self.tables.replace(bookings.book(once, *self.sides), f"bookings/batch={batch_id}")
+        rest = [c for c in batch.columns if c not in ("booking_id", "booking_time")]
+        order = ["booking_time", *rest] if "booking_time" in batch.columns else rest
+        batch = batch.persist()
+        try:
+            first = batch.where(F.col("booking_id").isNotNull()).groupBy("booking_id").agg(F.min(F.struct(*order)).alias("r"))
+            once = first.select("booking_id", "r.*")
+            others = self.booked_elsewhere(once, batch_id)
+            if others is not None:
+                once = once.join(others, "booking_id", "left_anti")
+            nameless = batch.where(F.col("booking_id").isNull())
+            booked = bookings.book(once.unionByName(nameless), *self.sides)
+            stored = booked.withColumns({"ids": self._range(), "batch": F.lit(batch_id)})
+            writer = stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer.partitionBy("ids", "batch").parquet(self.tables.path("bookings"))
+        finally:
+            batch.unpersist()
 
     def start(self, requests: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
         writer = requests.writeStream.foreachBatch(self.update).option("checkpointLocation", checkpoint)
@@ -120,4 +223,4 @@ class BookingStream:
         return writer.start()
 
     def bookings(self) -> DataFrame:
-        return self._stored().drop("batch")
+        return self.spark.read.parquet(self.tables.path("bookings")).drop("ids", "batch")

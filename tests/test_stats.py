@@ -1,3 +1,4 @@
+import datetime
 import math
 import random
 
@@ -136,3 +137,13 @@ def test_correlation(spark, rounds):
     assert row["r"] == pytest.approx(r)
     assert row["t"] == pytest.approx(r * math.sqrt((len(pdf) - 2) / (1 - r * r)))
     assert row["ci_low"] < r < row["ci_high"] and 0 <= row["p_value"] <= 1
+
+
+def test_rounds_without_a_score_are_in_no_sample(spark):
+    day = datetime.date(2020, 5, 2)
+    rows = [(1, 1, day, 80), (2, 1, day, None), (3, 2, day, 90)]
+    rounds = spark.createDataFrame(rows, "round_id long, player_id long, round_date date, score int")
+    weather = spark.createDataFrame([(day, 20.0, 0.0, 5.0)], "date date, avg_temp double, precipitation double, wind_speed double")
+    got = {(r["test"], r["grp"]): (r["n"], r["s"], r["ss"]) for r in stats.welch_samples(rounds, weather).collect()}
+    assert got["rain", "a"] == got["rounds_played", "b"] == (2, 170, 14500)
+    assert got["rounds_played", "a"] == got["rain", "b"] == (0, 0, 0)

@@ -53,6 +53,85 @@ def test_repeated_batch_replaces_itself(spark, all_rounds, players, tmp_path):
     assert rows(state.stats(players)) == rows(player_stats.player_stats(players, all_rounds))
 
 
+def test_state_is_one_row_per_player(spark, all_rounds, players, tmp_path):
+    """Over 20 batches with late rounds and a null score the state stays as large as the players are many."""
+    rounds = all_rounds.withColumn("score", F.when(F.col("round_id") != 7, F.col("score")))
+    source = str(tmp_path / "in")
+    rounds.withColumn("part", F.pmod(F.hash("round_id"), F.lit(20))).repartition(20, "part").write.partitionBy("part").parquet(source)
+    stream = S.file_stream(spark, source, rounds.schema, max_files=1)
+    state = S.PlayerStateStream(spark, str(tmp_path / "checkpoint"))
+    running = state.start(stream)
+    running.awaitTermination()
+    progress = [p for p in running.recentProgress if p["numInputRows"]]
+    assert len(progress) == 20
+    assert {p["stateOperators"][0]["numRowsTotal"] for p in progress} <= {1, 2, 3}
+    assert state.state().count() == 3
+    assert state.state().where(F.size("ids") > player_stats.LATEST).count() == 0
+    assert rows(state.stats(players)) == rows(player_stats.player_stats(players, rounds))
+
+    # another run goes on from the checkpoint; every round of it is older than those kept
+    late = rounds.withColumn("round_id", F.col("round_id") + 1000).withColumn("round_date", F.date_sub("round_date", 400))
+    late.withColumn("part", F.lit(99)).write.mode("append").partitionBy("part").parquet(source)
+    state.start(S.file_stream(spark, source, rounds.schema)).awaitTermination()
+    assert rows(state.stats(players)) == rows(player_stats.player_stats(players, rounds.unionByName(late)))
+
+
+def test_a_hot_player_sends_few_rows(spark, tmp_path):
+    hot = spark.range(5000).select(
+        F.col("id").alias("round_id"), F.lit(1).cast("long").alias("player_id"), F.date_add(F.lit(D0), (F.col("id") % 700).cast("int")).alias("round_date"), F.lit(80).alias("score")
+    )
+    reduced = S.PlayerStateStream(spark, str(tmp_path)).reduced(hot.repartition(4)).collect()
+    assert len(reduced) == 4 * player_stats.LATEST and sum(r["rounds"] for r in reduced) == 5000
+
+
+def sides(spark):
+    people = spark.createDataFrame([(1, "Ann", 5.0)], "player_id long, player_name string, handicap double")
+    played = spark.createDataFrame([(1, 1)], "round_id long, player_id long")
+    weather = spark.createDataFrame(
+        [(datetime.date(2021, 6, 2), 20.0, 0.0, 5.0)], "date date, avg_temp double, precipitation double, wind_speed double"
+    )
+    return people, player_stats.round_counts(played), weather
+
+
+ASKED = "booking_id long, player_name string, booking_date date, hour int, cart boolean, booking_time timestamp_ntz"
+
+
+def asked_for(spark, ids, time=None):
+    time = time or datetime.datetime(2021, 1, 1)
+    return spark.createDataFrame([(i, "ann", datetime.date(2021, 6, 2), 10, False, time) for i in ids], ASKED)
+
+
+def test_bookings_read_back_only_their_ranges(spark, tmp_path):
+    """Over 20 batches the files that a batch looks into are those of its own ids."""
+    book = S.BookingStream(spark, str(tmp_path / "out"), *sides(spark), ids_per_range=10)
+    for batch in range(20):
+        book.update(asked_for(spark, [*range(batch * 10, batch * 10 + 10), max(0, batch * 10 - 5)]), batch)
+    assert sorted(r["booking_id"] for r in book.bookings().collect()) == list(range(200))
+    looked = book.booked_elsewhere(asked_for(spark, [42, 45, 9999]), 99)
+    folders = {f.split("/ids=")[1].split("/")[0] for f in looked.inputFiles()}
+    assert folders == {"4"} and looked.count() == 10
+    assert book.booked_elsewhere(asked_for(spark, [777_777]), 99) is None
+    before = book.bookings().count()
+    book.update(asked_for(spark, range(200)), 50)  # all are known
+    assert book.bookings().count() == before
+
+
+def test_requests_without_an_id_are_rejected(spark, tmp_path):
+    book = S.BookingStream(spark, str(tmp_path / "out"), *sides(spark))
+    for _ in range(2):  # the same batch again replaces itself
+        book.update(asked_for(spark, [None, None, 5, 5]), 0)
+    book.update(asked_for(spark, [None, 5]), 1)
+    got = sorted((r["booking_id"] or 0, r["booking_status"], r["reject_reason"]) for r in book.bookings().collect())
+    assert got == [(0, "rejected", "booking_id")] * 3 + [(5, "confirmed", None)]
+
+
+def test_the_earliest_of_equal_ids_is_kept(spark, tmp_path):
+    book = S.BookingStream(spark, str(tmp_path / "out"), *sides(spark))
+    first = datetime.datetime(2020, 1, 1)
+    book.update(asked_for(spark, [5]).union(asked_for(spark, [5], first)), 0)
+    assert [r["booking_time"] for r in book.bookings().collect()] == [first]
+
+
 def test_booking_stream_books_once(spark, tmp_path):
     asked = spark.createDataFrame(
         [(i, "ann", datetime.date(2021, 6, 2), 10, False, datetime.datetime(2021, 1, 1)) for i in (1, 2, 1, 2, 3)],
@@ -92,6 +171,7 @@ def test_null_scores_are_no_rounds_in_means(spark):
     rounds = spark.createDataFrame(rows, "round_id long, player_id long, round_date date, score int")
     got = {r["player_id"]: r["handicap"] for r in player_stats.handicaps(rounds).collect()}
     assert got == {1: 11.6, 2: None}
+    assert [player_stats.handicap_for_player(rounds, p).first()["handicap"] for p in (1, 2, 3)] == [11.6, None, None]
     weather = spark.createDataFrame([(D0, 20.0, 0.0, 5.0)], "date date, avg_temp double, precipitation double, wind_speed double")
     impact = reports.weather_impact(rounds, weather).first()
     assert impact["avg_score"] == 80.0 and impact["rounds_played"] == 3
