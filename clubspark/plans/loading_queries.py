@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from clubspark.deliveries import Deliveries
 from clubspark.operators import loading, player_stats, quality, reshape
 from clubspark.operators import reports as R
 from clubspark.plans import domain as D
 from clubspark.plans.booking_queries import _training_set
 from clubspark.plans.registry import differential_sql, handicap_sql, query, with_views
+from clubspark.schemas import SCORECARDS, WEATHER_RAW
 from clubspark.session import materialize, shared_folder
+from clubspark.sources.files import write_csv
 from clubspark.sources.tables import ParquetTables
 from clubspark.venue import Venue
 
@@ -195,6 +199,33 @@ def incremental_loads(spark: SparkSession, sf: str) -> DataFrame:
     return venue.players().select("player_name", "member_status", "handicap", "rounds_played")
 
 
+@query("file_deliveries", """
+SELECT names.player_name, CASE WHEN coalesce(n, 0) >= 30 THEN 'member' ELSE 'guest' END AS member_status, CAST(coalesce(n, 0) AS INTEGER) AS rounds_played
+FROM (SELECT DISTINCT player_name FROM rounds_raw) AS names
+LEFT JOIN (SELECT player_name, count(*) AS n FROM rounds_raw WHERE score > 0 GROUP BY 1) c ON names.player_name = c.player_name""", ("rounds_raw",))
+def file_deliveries(spark: SparkSession, sf: str) -> DataFrame:
+    """CSV deliveries in a folder: the second call finds the first delivery again and a new one, the third nothing new.
+
+    The weather files name every day, so that all played rounds are kept whatever dates their ids draw.
+    """
+    folder = shared_folder(spark)
+    venue = Venue(ParquetTables(spark, f"{folder}/tables"))
+    arrivals = Deliveries(venue, scorecards="scorecards*/*.csv", weather="weather*/*.csv")
+    days = F.explode(F.sequence(F.lit("2017-04-01").cast("date"), F.lit("2022-12-31").cast("date"))).alias("time")
+    weather = _all_columns(spark.range(1).select(days, F.lit(20.0).alias("tavg"), F.lit(0.0).alias("prcp")), WEATHER_RAW)
+    for number, loaded in enumerate((True, False)):
+        write_csv(_all_columns(D.scorecards(spark, sf, loaded=loaded), SCORECARDS), f"{folder}/in/scorecards{number}")
+        write_csv(weather, f"{folder}/in/weather{number}")
+        arrivals.load_all(f"{folder}/in")
+    arrivals.load_all(f"{folder}/in")
+    return venue.players().select("player_name", "member_status", "rounds_played")
+
+
+def _all_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The columns of a declared file, null where there are none."""
+    return df.select(*[F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+
+
 @query("round_counts", """
 SELECT p.player_id, player_name, count(round_id) AS round_count
 FROM players p LEFT JOIN rounds r ON p.player_id = r.player_id GROUP BY p.player_id, player_name""", ("players", "rounds"))

@@ -6,22 +6,22 @@ from pyspark.sql import DataFrame
 
 from clubspark import schemas
 from clubspark.operators import loading, player_stats, ranking, reshape
+from clubspark.player_rows import PlayerRows
 from clubspark.sources.tables import ParquetTables
-from clubspark.streaming.rounds import PlayerStatsStream
 
 
 class Venue:
     """Players, weather, rounds and per-player state below one folder.
 
     A load has an id.  Players and weather are appended by anti-join; the
-    rounds of a load and the summaries made from them are written below its
-    id, so a load that is run again after a failure replaces itself.
+    rounds of a load are written below its id, so a load that is run again after a failure replaces
+    itself.  Only the buckets of the players in a load are rewritten, and published together.
     """
 
     def __init__(self, tables: ParquetTables):
         self.tables = tables
         self.spark = tables.spark
-        self.state = PlayerStatsStream(self.spark, tables.root)
+        self.state = PlayerRows(tables)
 
     def load(
         self,
@@ -50,7 +50,7 @@ class Venue:
         )
         name = f"rounds/load={load_id}"
         self.tables.replace(rounds, name)
-        self.state.update(self.spark.read.schema(schemas.ROUNDS).parquet(self.tables.path(name)), load_id, "load")
+        self.state.update(self.spark.read.schema(schemas.ROUNDS).parquet(self.tables.path(name)), load_id)
 
     def rounds(self) -> DataFrame:
         """All stored rounds; the round number is left to :meth:`numbered_rounds`."""

@@ -1,9 +1,15 @@
 import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from clubspark.operators import quality
+from clubspark import schemas
+from clubspark.deliveries import Deliveries
+from clubspark.operators import player_stats, quality
+from clubspark.player_rows import PlayerRows
+from clubspark.sources import files
 from clubspark.sources.tables import ParquetTables
 from clubspark.venue import Venue
 
@@ -74,3 +80,101 @@ def test_missing_table_is_empty(spark, tmp_path):
     assert tables.read("weather").count() == 0
     tables.append(spark.createDataFrame([(datetime.date(2020, 1, 1), 1.0)], "date date, avg_temp double"), "weather")
     assert tables.query("SELECT * FROM {weather} WHERE avg_temp = :t", {"t": 1.0}).count() == 1
+
+
+def rounds_of(spark, ids, players):
+    rows = [(i, i % players, datetime.date(2020, 5, 1) + datetime.timedelta(days=i % 200), 70 + i % 30) for i in ids]
+    return spark.createDataFrame(rows, "round_id long, player_id long, round_date date, score int")
+
+
+def test_a_load_rewrites_only_touched_buckets(spark, tmp_path):
+    rows = PlayerRows(ParquetTables(spark, str(tmp_path)), buckets=8)
+    people = spark.createDataFrame([(i, f"P{i}", "guest", None, 0) for i in range(60)], schemas.PLAYERS)
+    assert rows.stats(people).where("rounds_played > 0").count() == 0
+    first, second = rounds_of(spark, range(3000), 60), rounds_of(spark, range(3000, 3050), 60).where("player_id < 2")
+    rows.update(first, 1)
+    before = {f: Path(f).stat().st_mtime_ns for f in map(str, (tmp_path / "player_rows").rglob("*.parquet"))}
+    pointer = rows.pointer()
+    rows.update(second, 2)
+    assert {f: Path(f).stat().st_mtime_ns for f in before} == before
+    changed = {b for b, folder in rows.pointer().items() if folder != pointer[b]}
+    assert 1 <= len(changed) <= 2
+    want = sorted(tuple(r) for r in player_stats.player_stats(people, first.union(second)).collect())
+    assert sorted(tuple(r) for r in rows.stats(people).collect()) == want
+    rows.update(second, 2)  # the same load again
+    assert sorted(tuple(r) for r in rows.stats(people).collect()) == want
+    with pytest.raises(ValueError, match="came after"):
+        rows.update(first, 1)
+
+
+def test_a_load_that_breaks_off_before_publishing_is_not_seen(spark, tmp_path):
+    rows = PlayerRows(ParquetTables(spark, str(tmp_path)), buckets=4)
+    rows.update(rounds_of(spark, range(100), 5), 1)
+    seen = sorted(map(str, rows.rows().collect()))
+    pointer = rows.prepare(rounds_of(spark, range(100, 150), 5), 2)  # written, not published
+    assert sorted(map(str, rows.rows().collect())) == seen and rows.pointer() != pointer
+    rows.update(rounds_of(spark, range(100, 150), 5), 2)
+    assert rows.rows().agg(F.sum("rounds")).first()[0] == 150
+
+
+def test_row_numbers_do_not_depend_on_splits(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Name,Open.R1\n" + "".join(f"Player {i},{i}\n" for i in range(4000)))
+    (tmp_path / "b.csv").write_text("Name,Open.R1\n" + "".join(f"Other {i},{i}\n" for i in range(50)))
+    schema = T.StructType([T.StructField("Name", T.StringType()), T.StructField("Open.R1", T.IntegerType())])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("134217728", "4096"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            numbered = files.with_row_number(files.read_csv(spark, str(tmp_path), schema))
+            assert numbered.count() == 4050
+            assert numbered.where(F.col("`Open.R1`") != F.col("row_number")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+HEADER = "Year,Name,Course,Yards,Par,Open.Position,Integer.Position,Position.Grouping,Open.R1,Open.R2,Open.R3,Open.R4\n"
+
+
+def deliver(folder, name, players, days):
+    (folder / f"scorecards_{name}.csv").write_text(HEADER + "".join(f"2020,{p},,,,,,,70,75,0,80\n" for p in players))
+    lines = "".join(f"{d},20,,,0,,5,\n" for d in days)
+    (folder / f"weather_{name}.csv").write_text("time,tavg,tmin,tmax,prcp,wdir,wspd,pres\n" + lines)
+
+
+def test_each_file_is_loaded_once(spark, tmp_path):
+    every_day = [datetime.date(2017, 4, 1) + datetime.timedelta(days=i) for i in range(2100)]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    venue = Venue(ParquetTables(spark, str(tmp_path / "tables")))
+    arrivals = Deliveries(venue)
+    assert arrivals.load_all(str(folder)) == []
+    deliver(folder, "1", ["Ann", "Ben"], every_day)
+    assert arrivals.load_all(str(folder)) == [1]
+    once = sorted(map(str, venue.rounds().collect()))
+    assert len(once) == 6
+    assert arrivals.load_all(str(folder)) == [] and sorted(map(str, venue.rounds().collect())) == once
+    deliver(folder, "2", ["Ann", "Cem", "Ann"], every_day[:5])
+    assert arrivals.load_all(str(folder)) == [2]
+    assert {r["player_name"]: r["rounds_played"] for r in venue.players().collect()} == {"Ann": 9, "Ben": 3, "Cem": 3}
+    assert venue.rounds().select("round_id").distinct().count() == 15
+    deliver(folder, "1", ["Ann", "Ben", "Dan"], every_day)
+    with pytest.raises(ValueError, match="changed since"):
+        arrivals.load_all(str(folder))
+
+
+def test_a_load_that_broke_off_is_finished_first(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    deliver(folder, "1", ["Ann"], [datetime.date(2017, 4, 1) + datetime.timedelta(days=i) for i in range(2100)])
+    venue = Venue(ParquetTables(spark, str(tmp_path / "tables")))
+    arrivals = Deliveries(venue)
+    with monkeypatch.context() as patch:
+        patch.setattr(venue.state, "update", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError, match="lost"):
+            arrivals.load_all(str(folder))
+    broken = sorted(map(str, venue.rounds().collect()))
+    deliver(folder, "2", ["Ben"], [])
+    assert arrivals.load_all(str(folder)) == [1, 2]
+    rounds = venue.rounds()
+    assert sorted(map(str, rounds.where("player_name = 'Ann'").collect())) == broken  # the same ids and dates again
+    assert {r["player_name"]: r["rounds_played"] for r in venue.players().collect()} == {"Ann": 3, "Ben": 3}
