@@ -3,22 +3,61 @@
 A plain ``row_number().over(partitionBy(key))`` sends all rows of a key to one
 task.  Here all rows are range-partitioned along key and sort order, so that a
 key of any size, null included, lies in as many even pieces as it needs; a row's
-position is its place in the piece plus the row counts of the pieces before.
+position is its place in the piece plus the rows of its key in the pieces before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clubspark.session import materialize
 
 # Ids without a key are ranked in ranges of 2**16, 2**32 and 2**48 ids.
 DENSE_BITS = 16
-# monotonically_increasing_id keeps the row's place in its partition in this many low bits.
-PLACE_BITS = 33
+
+
+def _numbered_in_task(key: str):
+    """Numbers the rows of each key in a sorted partition; marks the first key's rows and the last row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before, last, head = None, 0, None, True
+
+        def out(batch: pa.RecordBatch, local, heads, ends: bool) -> pa.RecordBatch:
+            flags = np.zeros(batch.num_rows, bool)
+            flags[-1] = ends
+            columns = [*batch.columns, pa.array(local, pa.int64()), pa.array(heads, pa.bool_()), pa.array(flags, pa.bool_())]
+            return pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_local", "_head", "_last"])
+
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = batch.column(batch.schema.get_field_index(key))
+            left, right = keys.slice(0, n - 1), keys.slice(1)
+            both_null = pc.and_(pc.is_null(left), pc.is_null(right))
+            same = pc.or_(pc.fill_null(pc.equal(left, right), False), both_null).to_numpy(zero_copy_only=False)
+            first = keys[0].as_py()
+            goes_on = held is None or first == last
+            begins = np.concatenate([[not goes_on], ~same.astype(bool)])
+            at = np.arange(n)
+            start = np.maximum.accumulate(np.where(begins, at, -1))
+            local = np.where(start < 0, before + at + 1, at - start + 1)
+            heads = (start < 0) & head
+            head = bool(heads[-1])
+            if held is not None:
+                yield out(*held, False)
+            held, before, last = (batch, local, heads), int(local[-1]), keys[n - 1].as_py()
+        if held is not None:
+            yield out(*held, True)
+
+    return run
 
 
 def position_in_key(
@@ -26,20 +65,25 @@ def position_in_key(
 ) -> DataFrame:
     """1-based position of each row among the rows of its key, by ``order`` then the unique id.
 
-    The sorted rows are written once, as the range bounds are drawn anew for each job.  A key has at most one piece
-    per partition, so the window over its pieces is short whatever the key holds.
+    Rows are numbered along their sorted partition and written once, as the range bounds are drawn anew for each job.
+    Only a partition's first key can begin in an earlier one; its offset is the sum of the last numbers of
+    the partitions before that end in the same key, one row per partition.
     """
     sort = [F.col(c).desc() if descending else F.col(c).asc() for c in [*order, id_col]]
     placed = df.repartitionByRange(F.col(key), *sort).sortWithinPartitions(F.col(key), *sort)
-    placed = materialize(placed.withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_task", F.spark_partition_id())
+    marks = [T.StructField("_local", T.LongType()), T.StructField("_head", T.BooleanType()), T.StructField("_last", T.BooleanType())]
+    numbered = materialize(placed.mapInArrow(_numbered_in_task(key), T.StructType([*placed.schema.fields, *marks])))
     # a struct is never null and equals another with the same null, so null keys need no case of their own
-    piece = F.struct(F.col(key).alias("key"), F.shiftright("_at", PLACE_BITS).alias("task"))
-    placed = placed.withColumn("_piece", piece)
-    counts = placed.groupBy("_piece").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    preceding = Window.partitionBy("_piece.key").orderBy("_piece.task").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(preceding), F.lit(0))).drop("_n")
-    number = F.col("_at") - F.col("_first") + F.col("_before") + 1
-    return placed.join(before, "_piece").select(*df.columns, number.cast("int").alias(out))
+    edge = [F.struct(F.col(key).alias("key")).alias("_key"), F.col("_task")]
+    first = numbered.where(F.col("_head") & (F.col("_local") == 1)).select(*edge, F.lit(0).cast("long").alias("_n"), F.lit(True).alias("_first"))
+    ends = numbered.where("_last").select(*edge, F.col("_local").alias("_n"), F.lit(False).alias("_first"))
+    earlier = Window.partitionBy("_key").orderBy("_task").rangeBetween(Window.unboundedPreceding, -1)
+    offsets = first.union(ends).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).where("_first")
+    offsets = F.broadcast(offsets.select(F.col("_task").alias("_in"), F.lit(True).alias("_at_head"), "_before"))  # one row per partition
+    joined = numbered.join(offsets, (F.col("_task") == F.col("_in")) & (F.col("_head") == F.col("_at_head")), "left")
+    number = F.col("_local") + F.coalesce("_before", F.lit(0))
+    return joined.select(*df.columns, number.cast("int").alias(out))
 
 
 def _offsets(counts: DataFrame, levels: Sequence[str]) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clubspark.functions import columns as C
+from clubspark.operators import quantiles
 from clubspark.operators.player_stats import round_counts
 from clubspark.operators.ranking import latest_rounds, top_rows
 from clubspark.operators.reshape import convert_units
+from clubspark.session import materialize
 
 HISTOGRAM_BINS = 30
 
@@ -131,39 +133,34 @@ def score_by_weekday(rounds: DataFrame, best_first: bool = True) -> DataFrame:
 
 
 def describe(df: DataFrame, names: list[str], exact: bool = True) -> DataFrame:
-    """Count, mean, sample sd, min, quartiles and max of each numeric column, in one pass.
+    """Count, mean, sample sd, min, quartiles and max of each numeric column.
 
-    Exact quartiles keep one buffer entry per distinct value: right for
-    bounded domains (scores, tenths of a degree).  For columns with unbounded
-    domains pass ``exact=False``.
+    Quartiles are exact on any domain (operators.quantiles): the columns are written once, and a few
+    counting passes find the ranks.  With ``exact=False`` they come from one pass with a sketch.
     """
-    quartiles = [0.25, 0.5, 0.75]
-    stats = []
-    for name in names:
-        c = F.col(name)
-        q = F.percentile(c, quartiles) if exact else F.percentile_approx(c, quartiles, 10000)
-        stats.append(
+    shares = [0.25, 0.5, 0.75]
+    narrow = df.select(*[F.col(f"`{n}`").cast("double").alias(n) for n in names])
+    if not exact:
+        stats = [
             F.struct(
-                F.lit(name).alias("column_name"),
-                F.count(c).alias("count"),
-                F.avg(c).alias("mean"),
-                F.stddev_samp(c).alias("std"),
-                F.min(c).cast("double").alias("min"),
-                q.cast("array<double>").alias("q"),
-                F.max(c).cast("double").alias("max"),
+                F.lit(n).alias("column_name"), F.count(n).alias("count"), F.avg(n).alias("mean"), F.stddev_samp(n).alias("std"),
+                F.min(n).alias("min"), F.percentile_approx(n, shares, 10000).alias("q"), F.max(n).alias("max"),
             )
-        )
-    return df.agg(F.array(*stats).alias("s")).select(F.explode("s").alias("r")).select(
-        "r.column_name",
-        "r.count",
-        "r.mean",
-        "r.std",
-        "r.min",
-        F.col("r.q")[0].alias("q25"),
-        F.col("r.q")[1].alias("q50"),
-        F.col("r.q")[2].alias("q75"),
-        "r.max",
-    )
+            for n in names
+        ]
+        one = narrow.agg(F.array(*stats).alias("s")).select(F.explode("s").alias("r")).select("r.*")
+        quartiles = [F.col("q")[i].alias(f"q{int(100 * s)}") for i, s in enumerate(shares)]
+        return one.select("column_name", "count", "mean", "std", "min", *quartiles, "max")
+    narrow = materialize(narrow)
+    known = {n: s.asDict() for n, s in quantiles.summaries(narrow, names).first().asDict().items()}
+    values = quantiles.order_statistics(narrow, {n: quantiles.ranks_of(known[n]["count"], shares) for n in names}, known)
+    rows = []
+    for n in names:
+        s = known[n]
+        found = [quantiles.interpolated(values, n, s["count"], share) for share in shares]
+        rows.append((n, s["count"], s["mean"], s["std"], s["min"], *found, s["max"]))
+    schema = "column_name string, count long, mean double, std double, min double, q25 double, q50 double, q75 double, max double"
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def profile_columns(df: DataFrame) -> DataFrame:

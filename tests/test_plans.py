@@ -7,7 +7,7 @@ import pytest
 from clubspark.plans.catalog import QUERIES
 
 HEAVY = {"model_linear", "model_ridge", "model_forest", "model_gbt", "model_metrics", "actual_vs_predicted", "score_bookings"}
-WRITES = {"scan_csv", "book_newcomers", "append_rounds", "incremental_loads"} | {q for q in QUERIES if q.startswith("stream_")}
+WRITES = {"scan_csv", "book_newcomers", "append_rounds", "incremental_loads", "file_deliveries"} | {q for q in QUERIES if q.startswith("stream_")}
 
 
 def plan(df):

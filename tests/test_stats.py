@@ -147,3 +147,34 @@ def test_rounds_without_a_score_are_in_no_sample(spark):
     got = {(r["test"], r["grp"]): (r["n"], r["s"], r["ss"]) for r in stats.welch_samples(rounds, weather).collect()}
     assert got["rain", "a"] == got["rounds_played", "b"] == (2, 170, 14500)
     assert got["rounds_played", "a"] == got["rain", "b"] == (0, 0, 0)
+
+
+def test_quartiles_of_odd_columns(spark):
+    inf, nan = math.inf, math.nan
+    columns = {
+        "a": [1.5, None, 1.5, 1.5, None, 1.5, 1.5, 1.5, 1.5],
+        "b": [-1e308, 1e308, 0.0, 5e-324, -5e-324, 1.0, 1.0 + 2**-52, 3.0, -2.0],
+        "c": [inf, -inf, nan, 2.0, 1.0, inf, -inf, nan, 0.5],
+        "d": [None] * 9,
+        "e": [7.0] + [None] * 8,
+    }
+    df = spark.createDataFrame(list(zip(*columns.values(), strict=True)), ", ".join(f"{n} double" for n in columns))
+    got = {r["column_name"]: r for r in reports.describe(df, list(columns)).collect()}
+    for name in columns:
+        want = df.agg(F.percentile(name, [0.25, 0.5, 0.75]).alias("q")).first()["q"] or [None] * 3
+        found = [got[name][f"q{p}"] for p in (25, 50, 75)]
+        assert repr(found) == repr(want), name
+        assert got[name]["count"] == sum(v is not None for v in columns[name])
+    empty = reports.describe(df.limit(0), ["a"]).first()
+    assert empty["count"] == 0 and empty["q50"] is None
+
+
+def test_quartiles_of_ten_million_different_values(spark):
+    """Half of them crowd in a billionth of the range; no percentile buffer is in any plan."""
+    n = 10_000_000
+    x = F.when(F.col("id") % 2 == 0, F.col("id") * 1e-9).otherwise(F.col("id").cast("double"))
+    df = spark.range(n, numPartitions=4).select(x.alias("x"))
+    row = reports.describe(df, ["x"]).first()
+    low = np.arange(0, n, 2) * 1e-9
+    values = np.sort(np.concatenate([low, np.arange(1, n, 2).astype(float)]))
+    assert [row["q25"], row["q50"], row["q75"]] == pytest.approx(list(np.percentile(values, [25, 50, 75])), rel=1e-12)
