@@ -35,7 +35,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id and the text as UTF-8 bytes, a null text as none."""
+    """doc_id and the text as UTF-8 bytes, a null text as none; the package is sent along for the workers."""
+    prepare(docs.sparkSession)
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), *more)
 
 
