@@ -44,12 +44,32 @@ def test_no_player_is_numbered_in_one_task(name, spark, sf):
     assert "row_number()" not in text and "sum(_n" in text
 
 
-@pytest.mark.parametrize("name", ["adjust_scores", "load_weather", "book_requests", "training_set"])
+@pytest.mark.parametrize("name", [
+    "adjust_scores", "load_weather", "book_requests", "training_set", "performers_by_conditions", "player_history", "best_per_player", "top_scores_poor"
+])
 def test_large_tables_are_not_read_again(name, spark, sf):
     text = plan(QUERIES[name](spark, sf)).split("== Physical Plan ==")[1]
     assert text.count("lineitem.parquet") <= 1 and text.count("orders.parquet") <= 1
 
 
+def test_rows_are_numbered_with_one_shuffle(spark, tmp_path):
+    """Behind the sorted, written rows only the offsets, one row per partition, are dealt out."""
+    from pyspark.sql import functions as F
+
+    from clubspark.operators.ranking import position_in_key
+
+    rows = spark.range(2000).select("id", (F.col("id") % 3).alias("k"))
+    numbered = position_in_key(rows, "k", ["id"], "id", "n")
+    text = plan(numbered).split("== Physical Plan ==")[1]
+    assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text
+    assert numbered.where(F.col("n") != F.floor(F.col("id") / 3) + 1).count() == 0
+
+
+@pytest.mark.parametrize("name", ["describe_scores"])
+def test_quartiles_need_no_buffer_of_values(name, spark, sf):
+    assert "percentile" not in plan(QUERIES[name](spark, sf))
+
+
 @pytest.mark.parametrize("name", ["top_scores", "sample_rows", "top_rounds"])
 def test_top_lists_do_not_sort_everything(name, spark, sf):
     assert "TakeOrderedAndProject" in plan(QUERIES[name](spark, sf))
