@@ -81,7 +81,8 @@ def mix(
     mixture has ``epochs`` times the input's size in the mean.  The draw depends on the seed and the
     doc_id alone, so a repeated row is repeated as often as its twin, and all null ids draw
     alike; a null source is a source.  Null texts have size one.  Empty tables stay
-    empty.  ``copy`` names a column for the number of the copy, from 1; further columns pass unchanged.
+    empty.  ``copy`` names a column for the number of the copy, from 1, in place of one of docs with that name; further
+    columns pass unchanged, and texts of any length are only measured and moved.
 
     The table of rates has a row per source; it is broadcast only when counted to be small.
     """
@@ -97,4 +98,5 @@ def mix(
     copies = counted.select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy_number"))
     place = F.xxhash64(F.lit(seed), "row.doc_id", F.coalesce("row.text", F.lit("")), "copy_number")
     dealt = copies.withColumn("place", place).repartition("place").sortWithinPartitions("place")
-    return dealt.select("row.*", *([F.col("copy_number").alias(copy)] if copy else []))
+    kept = [c for c in docs.columns if copy is None or c.lower() != copy.lower()]
+    return dealt.select(*[F.col("row").getField(c).alias(c) for c in kept], *([F.col("copy_number").alias(copy)] if copy else []))

@@ -103,7 +103,7 @@ rates AS (
     / (SELECT sum(pow(size, {mixing.TEMPERATURE})) FROM sizes) / size AS rate FROM sizes),
 terms AS (
   SELECT source, rate, j, exp(j * ln(rate) - rate - lgamma(j + 1)) AS p
-  FROM rates, (SELECT unnest(range(0, 200)) AS j)),
+  FROM rates, unnest(range(0, CAST(rate + 12 * sqrt(rate) + 40 AS BIGINT))) AS r(j)),
 cdf AS (SELECT source, j, sum(p) OVER (PARTITION BY source ORDER BY j) AS c FROM terms),
 drawn AS (
   SELECT *, CAST('0x' || substr(md5(concat('{mixing.SEED}:', coalesce(CAST(doc_id AS VARCHAR), ''), ':1')), 1, 13) AS BIGINT)

@@ -57,6 +57,14 @@ def test_mix_draws_and_weights(odd, spark):
     assert mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_number_of_the_copy_takes_the_place_of_a_column_of_that_name(odd):
+    mixed = mixing.mix(odd, copy="copy_number")
+    assert sorted(mixed.columns) == sorted(odd.columns)
+    rows = mixed.select("doc_id", "copy_number").where("doc_id < 20").collect()
+    most = Counter(r["doc_id"] for r in rows)
+    assert {(r["doc_id"], r["copy_number"]) for r in rows} == {(i, k) for i, n in most.items() for k in range(1, n + 1)}
+
+
 def test_mix_follows_large_and_small_rates(spark):
     rows = spark.range(4000).selectExpr("id AS doc_id", "'aaaa' AS text", "IF(id < 2, 'tiny', 'huge') AS source")
     weights = spark.createDataFrame([("tiny", 1.0), ("huge", 1.0)], "source string, weight double")
