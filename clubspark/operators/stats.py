@@ -7,6 +7,7 @@ stays tiny at any scale.  Sums are exact integers; the closed forms run on it.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import sys
 
@@ -142,21 +143,37 @@ def describe_distribution(rounds: DataFrame) -> DataFrame:
     )
 
 
+def _poisson_inverse(mean: float, u: np.ndarray) -> np.ndarray:
+    """The least k whose cumulated Poisson probability reaches u; terms beyond 12 sd are nothing.
+
+    The list of terms grows with the root of the mean.
+    """
+    width = 12 * math.sqrt(mean) + 20
+    low = max(0, math.floor(mean - width))
+    k = np.arange(low, math.ceil(mean + width) + 1, dtype=float)
+    logs = np.concatenate([[0.0], np.cumsum(np.log(mean / k[1:]))])
+    upto = np.cumsum(np.exp(logs - logs.max()))
+    return low + np.minimum(np.searchsorted(upto / upto[-1], u), len(k) - 1)
+
+
 def bootstrap_moments(rounds: DataFrame, replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """(replicate, skewness, kurtosis) of resampled scores.
+    """(replicate, skewness, kurtosis) of resampled scores; rounds without a score are left out.
 
     Resampling n rounds with replacement is drawn on the score counts: each
     count is replaced by Poisson draws of that mean.  The work is replicates
-    times distinct scores, whatever the number of rounds.
+    times distinct scores, whatever the number of rounds.  A draw inverts the distribution at
+    60 bits of an MD5 of seed, score and replicate, so that another engine draws the same.
     """
 
     @F.pandas_udf("array<bigint>")
     def draws(score: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series(
-            [np.random.default_rng([seed, int(s) & 0xFFFFFFFF]).poisson(m, replicates) for s, m in zip(score, n)]
-        )
+        def one(s: int, mean: int) -> np.ndarray:
+            bits = (hashlib.md5(f"{seed}:{s}:{r}".encode()).hexdigest()[:15] for r in range(1, replicates + 1))
+            return _poisson_inverse(mean, np.array([int(b, 16) / 2.0**60 for b in bits]))
+
+        return pd.Series([one(s, m) for s, m in zip(score, n)])
 
-    weighted = score_counts(rounds).select("score", F.posexplode(draws("score", "n")).alias("replicate", "w"))
+    weighted = score_counts(rounds.where(F.col("score").isNotNull())).select("score", F.posexplode(draws("score", "n")).alias("replicate", "w"))
     moments = weighted.groupBy("replicate").agg(*_moments(F.col("w")))
     n = F.col("n")
     _, m2, m3, m4 = _central(n)

@@ -69,9 +69,35 @@ def describe_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.describe_distribution(D.adjusted_rounds(spark, sf)), "mean", "sd", "skewness", "kurtosis")
 
 
-@query("bootstrap_moments")
+_DRAW = "CAST('0x' || substr(md5('42:' || score || ':' || replicate), 1, 15) AS BIGINT) / pow(2, 60)"
+
+
+# Poisson terms and their running shares per score; a draw is the first share that reaches its number.
+@query("bootstrap_moments", with_views("", "adjusted") + f"""
+, counts AS (
+  SELECT score, count(*) AS n, floor(12 * sqrt(count(*)) + 20) + 1 AS width FROM adjusted GROUP BY score
+), terms AS (
+  SELECT score, n, unnest(range(CAST(greatest(0, n - width) AS BIGINT), CAST(n + width + 1 AS BIGINT))) AS k FROM counts
+), weighed AS (
+  SELECT score, k, exp(k * ln(n) - n - lgamma(k + 1)) AS p FROM terms
+), shares AS (
+  SELECT score, k, sum(p) OVER (PARTITION BY score ORDER BY k) / sum(p) OVER (PARTITION BY score) AS share FROM weighed
+), asked AS (
+  SELECT score, replicate, {_DRAW} AS u FROM counts CROSS JOIN range(1, 1001) AS numbers(replicate)
+), drawn AS (
+  SELECT replicate, asked.score - 72 AS d, CAST(k AS DOUBLE) AS w FROM asked ASOF JOIN shares ON asked.score = shares.score AND u <= share
+), sums AS (
+  SELECT replicate, sum(w) AS n, sum(w * d) / sum(w) AS a, sum(w * d * d) / sum(w) AS b,
+    sum(w * d * d * d) / sum(w) AS c, sum(w * d * d * d * d) / sum(w) AS e FROM drawn GROUP BY replicate
+), central AS (
+  SELECT replicate, n, b - a * a AS m2, c - 3 * a * b + 2 * a * a * a AS m3, e - 4 * a * c + 6 * a * a * b - 3 * a * a * a * a AS m4 FROM sums
+)
+SELECT CAST(replicate AS INTEGER) AS replicate, round(m3 / pow(m2, 1.5) * sqrt(n * (n - 1)) / (n - 2), 6) + 0.0 AS skewness,
+  round((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * m4 / (m2 * m2) - (n - 1) * 3) + 3, 6) AS kurtosis
+FROM central""")
 def bootstrap_moments(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.bootstrap_moments(D.adjusted_rounds(spark, sf))
+    out = rounded(stats.bootstrap_moments(D.adjusted_rounds(spark, sf)), "skewness", "kurtosis")
+    return out.withColumn("skewness", F.col("skewness") + F.lit(0.0))
 
 
 _NORMAL = """

@@ -91,6 +91,31 @@ def test_bootstrap(rounds, scores):
     assert sorted(r["skewness"] for r in stats.bootstrap_moments(rounds, replicates=300).collect()) == sorted(skew.tolist())
 
 
+@pytest.mark.parametrize("mean", [1, 3, 40, 2_000])
+def test_poisson_draws_invert_the_distribution(mean):
+    """Each draw is the least k whose summed probability reaches the number."""
+    u = np.concatenate([np.random.default_rng(mean).random(300), [0.0, 1e-12, 1 - 1e-12]])
+    got = stats._poisson_inverse(mean, u)
+    for number, k in zip(u, got):
+        low = max(0, int(mean - 15 * math.sqrt(mean) - 30))
+        terms = [math.exp(i * math.log(mean) - mean - math.lgamma(i + 1)) for i in range(low, int(k) + 1)]
+        upto = math.fsum(terms)
+        assert upto >= number - 1e-9 and upto - terms[-1] <= number + 1e-9
+
+
+def test_poisson_draws_of_a_huge_mean():
+    u = (np.arange(20_000) + 0.5) / 20_000
+    got = stats._poisson_inverse(1e10, u)
+    assert got.mean() == pytest.approx(1e10, abs=2e3) and got.std() == pytest.approx(1e5, rel=1e-2)
+
+
+def test_bootstrap_leaves_out_unknown_scores(spark, rounds):
+    unknown = rounds.withColumn("score", F.when(F.col("round_id") >= 0, F.col("score"))).union(
+        rounds.limit(3).withColumn("score", F.lit(None).cast("int"))
+    )
+    assert sorted(stats.bootstrap_moments(unknown, 20).collect()) == sorted(stats.bootstrap_moments(rounds, 20).collect())
+
+
 def test_welch(spark, rounds):
     weather = rounds.select("round_date").distinct().select(
         F.col("round_date").alias("date"),
