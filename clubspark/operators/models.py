@@ -34,26 +34,32 @@ def _ridge(train: DataFrame) -> LinearRegression:
     return LinearRegression(standardization=False, solver="normal", regParam=RIDGE_ALPHA * row["sd"] / row["n"])
 
 
-def _estimator(kind: str, train: DataFrame) -> Estimator:
+def _estimator(kind: str, train: DataFrame, depth: int | None) -> Estimator:
     if kind == "linear":
         model = LinearRegression(solver="normal")
     elif kind == "ridge":
         model = _ridge(train)
     elif kind == "forest":
         model = RandomForestRegressor(
-            numTrees=TREES, maxDepth=FOREST_DEPTH, featureSubsetStrategy="all", maxMemoryInMB=1024, seed=SEED
+            numTrees=TREES, maxDepth=depth or FOREST_DEPTH, featureSubsetStrategy="all", maxMemoryInMB=1024, seed=SEED
         )
     elif kind == "gbt":
-        model = GBTRegressor(maxIter=BOOSTING_ROUNDS, stepSize=BOOSTING_RATE, maxDepth=BOOSTING_DEPTH, seed=SEED)
+        model = GBTRegressor(
+            maxIter=BOOSTING_ROUNDS, stepSize=BOOSTING_RATE, maxDepth=depth or BOOSTING_DEPTH, seed=SEED
+        )
     else:
         raise ValueError(f"unknown model kind {kind!r}")
     return model.setLabelCol("score").setFeaturesCol("features").setPredictionCol("prediction")
 
 
-def fit(kind: str, train: DataFrame) -> PipelineModel:
-    """Fit one model on scaled features; pass a materialised frame, it is read several times."""
+def fit(kind: str, train: DataFrame, depth: int | None = None) -> PipelineModel:
+    """Fit one model on scaled features; pass a materialised frame, it is read several times.
+
+    ``depth`` bounds the trees of a forest or of boosting, 30 at most: a level is one pass over the rows,
+    and a tree has up to 2**depth leaves.  It defaults to 8 for forests, 3 for boosting.
+    """
     assembler = VectorAssembler(inputCols=X.FEATURES, outputCol="features", handleInvalid="keep")
-    model = _estimator(kind, train).fit(assembler.transform(train.select("score", *X.FEATURES)))
+    model = _estimator(kind, train, depth).fit(assembler.transform(train.select("score", *X.FEATURES)))
     return PipelineModel([assembler, model])
 
 
@@ -131,8 +137,10 @@ def prepare(complete: DataFrame, fit_scaler_on: str = "all") -> tuple[DataFrame,
     return X.apply_scaler(split, scaler), scaler
 
 
-def train_bundle(kind: str, complete: DataFrame, fit_scaler_on: str = "all") -> ModelBundle:
+def train_bundle(
+    kind: str, complete: DataFrame, fit_scaler_on: str = "all", depth: int | None = None
+) -> ModelBundle:
     scaled, scaler = prepare(complete, fit_scaler_on)
-    model = fit(kind, scaled.where(F.col("split") == "train"))
+    model = fit(kind, scaled.where(F.col("split") == "train"), depth)
     test = model.transform(scaled.where(F.col("split") == "test"))
     return ModelBundle(model, scaler, list(X.FEATURES), metrics(test).first()["r2"])

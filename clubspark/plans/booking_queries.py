@@ -12,7 +12,7 @@ from clubspark.plans.registry import hash_sql, query, with_views
 from clubspark.session import materialize, shared_folder
 from clubspark.sources.tables import ParquetTables
 
-_BOOKED = """
+BOOKED = """
 , booked AS (
   SELECT r.*, p.player_id, h.handicap AS known_handicap, coalesce(c.n, 0) + 1 AS round_number,
     w.avg_temp, w.precipitation, w.wind_speed, isodow(booking_date) - 1 AS dow
@@ -82,7 +82,7 @@ def register_players(spark: SparkSession, sf: str) -> DataFrame:
     return bookings.register_players(D.registrations(spark, sf), D.players(spark, sf, existing=True))
 
 
-@query("price_bookings", with_views("", "requests", "players", "handicaps", "rounds", "weather") + _BOOKED + """
+@query("price_bookings", with_views("", "requests", "players", "handicaps", "rounds", "weather") + BOOKED + """
 SELECT booking_id, CASE WHEN reject_reason IS NULL THEN amount END AS price_paid FROM judged""")
 def price_bookings(spark: SparkSession, sf: str) -> DataFrame:
     asked, weather = D.booking_requests(spark, sf), D.weather_once(spark, sf)
@@ -91,7 +91,7 @@ def price_bookings(spark: SparkSession, sf: str) -> DataFrame:
     return bookings.price_bookings(frame).select("booking_id", "price_paid")
 
 
-BOOK_SQL = with_views("", "requests", "players", "handicaps", "rounds", "weather") + _BOOKED + """
+BOOK_SQL = with_views("", "requests", "players", "handicaps", "rounds", "weather") + BOOKED + """
 SELECT booking_id, player_id, CAST(booking_date AS TIMESTAMP) + to_hours(hour) AS tee_time,
   CASE WHEN reject_reason IS NULL THEN amount END AS price_paid,
   CASE WHEN reject_reason IS NULL THEN 'confirmed' ELSE 'rejected' END AS booking_status,
@@ -114,7 +114,7 @@ _NEWCOMERS = with_views("", "requests", "players", "handicaps", "rounds", "weath
   SELECT player_id, player_name, h.handicap FROM players p LEFT JOIN handicaps h USING (player_id) WHERE registered
   UNION ALL SELECT (SELECT max(player_id) FROM players WHERE registered) + row_number() OVER (ORDER BY booking_id), player_name, handicap FROM first
 )""" + (
-    _BOOKED.replace("'purchase'", "'signup'")
+    BOOKED.replace("'purchase'", "'signup'")
     .replace("LEFT JOIN players p", "LEFT JOIN known p")
     .replace("  LEFT JOIN handicaps h ON p.player_id = h.player_id\n", "")
     .replace("h.handicap AS", "p.handicap AS")

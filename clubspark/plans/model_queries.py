@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from clubspark.operators import bookings, features, models
 from clubspark.plans import domain as D
-from clubspark.plans.booking_queries import _stats, training
+from clubspark.plans.booking_queries import BOOKED, _stats, training
 from clubspark.plans.registry import hash_sql, query, with_views
+from clubspark.plans.statistics_queries import rounded
 from clubspark.session import materialize, shared_folder
 
 
@@ -18,7 +19,7 @@ def _split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return scaled.where(F.col("split") == "train"), scaled.where(F.col("split") == "test")
 
 
-def _solved(penalty: float) -> str:
+def _solved(penalty: float, views: str | None = None) -> str:
     """Views up to ``solution`` (w, intercept): the normal equations of the training rows by Gauss-Jordan steps."""
     names = features.FEATURES
     columns = ", ".join(
@@ -34,7 +35,8 @@ def _solved(penalty: float) -> str:
     )
     size = len(names)
     weighed = " - ".join(["y", *(f"m[{i}][{size + 1}] * mean[{i}]" for i in range(1, size + 1))])
-    return with_views("", "adjusted_complete").replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+    views = with_views("", "adjusted_complete") if views is None else views
+    return views.replace("WITH ", "WITH RECURSIVE ", 1) + f"""
 , scaled AS (
   SELECT round_id, CAST(score AS DOUBLE) AS y, {hash_sql('round_id', 42)} % 10 < 8 AS train, {columns} FROM adjusted_complete
 ), sums AS (
@@ -92,10 +94,14 @@ def model_gbt(spark: SparkSession, sf: str) -> DataFrame:
 @query("model_metrics")
 def model_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Test metrics of the four models, in one pass over their predictions."""
+    return _metrics(spark, sf, models.KINDS)
+
+
+def _metrics(spark: SparkSession, sf: str, kinds: tuple[str, ...]) -> DataFrame:
     train, test = _split(spark, sf)
     scored = [
         models.fit(kind, train).transform(test).select(F.lit(kind).alias("model"), "score", "prediction")
-        for kind in models.KINDS
+        for kind in kinds
     ]
     both = scored[0]
     for frame in scored[1:]:
@@ -114,11 +120,57 @@ def actual_vs_predicted(spark: SparkSession, sf: str) -> DataFrame:
     return models.actual_vs_predicted(models.fit("linear", train).transform(test))
 
 
+def _quality_sql(kind: str, penalty: float) -> str:
+    return f"""SELECT * FROM ({_solved(penalty)}, guessed AS (SELECT y, {_LINE} AS guess FROM scaled, solution WHERE NOT train)
+SELECT '{kind}' AS model, count(*) AS rows, round(1 - avg(pow(y - guess, 2)) / var_pop(y), 6) AS r2, round(avg(pow(y - guess, 2)), 6) AS mse,
+  round(sqrt(avg(pow(y - guess, 2))), 6) AS rmse, round(avg(guess), 6) AS mean_prediction FROM guessed) AS {kind}"""
+
+
+@query("model_metrics_linear", _quality_sql("linear", 0.0) + "\nUNION ALL " + _quality_sql("ridge", models.RIDGE_ALPHA))
+def model_metrics_linear(spark: SparkSession, sf: str) -> DataFrame:
+    """Test metrics of the two models that have a closed form."""
+    return rounded(_metrics(spark, sf, ("linear", "ridge")), "r2", "mse", "rmse", "mean_prediction")
+
+
+def _asked_sql() -> str:
+    """A booking's model inputs, scaled as the training rows are; an unknown comparison is false."""
+    engineered = {
+        "wind_precip": "precipitation * wind_speed",
+        "wind_cold": "wind_speed * CASE WHEN avg_temp < 15 THEN 1 ELSE 0 END",
+        "bad_weather_combo": "CASE WHEN wind_speed > 15 AND precipitation > 0.5 AND avg_temp < 15 THEN 1 ELSE 0 END",
+        "weekend": "CASE WHEN dow >= 5 THEN 1 ELSE 0 END",
+        "day_of_week_int": "dow",
+    }
+    terms = ["intercept"]
+    for i, c in enumerate(features.FEATURES, 1):
+        value = engineered.get(c, "known_handicap" if c == "handicap" else c)
+        if c in features.SCALED:
+            value = f"({value} - (SELECT avg({c}) FROM adjusted_complete)) / (SELECT stddev_pop({c}) FROM adjusted_complete)"
+        terms.append(f"w[{i}] * ({value})")
+    return " + ".join(terms)
+
+
+_BOOKING_VIEWS = with_views("", "adjusted_complete", "requests", "players", "handicaps", "rounds", "weather")
+
+
+@query("score_bookings_linear", _solved(0.0, _BOOKING_VIEWS) + BOOKED + f"""
+SELECT booking_id, player_id, CASE WHEN reject_reason IS NULL THEN amount END AS price_paid,
+  CASE WHEN reject_reason IS NULL THEN round_even({_asked_sql()}, 0) END AS score_prediction, reject_reason
+FROM judged, solution""")
+def score_bookings_linear(spark: SparkSession, sf: str) -> DataFrame:
+    """Booking requests with price and predicted score from a saved and reloaded linear model."""
+    return _scored_bookings(spark, sf, "linear")
+
+
 @query("score_bookings")
 def score_bookings(spark: SparkSession, sf: str) -> DataFrame:
     """Booking requests with price and predicted score from a saved and reloaded model."""
+    return _scored_bookings(spark, sf, "gbt")
+
+
+def _scored_bookings(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     path = shared_folder(spark)
-    models.train_bundle("gbt", materialize(training(spark, sf, adjusted=True))).save(path)
+    models.train_bundle(kind, materialize(training(spark, sf, adjusted=True))).save(path)
     bundle = models.ModelBundle.load(spark, path)
     asked, weather = D.booking_requests(spark, sf), D.weather_once(spark, sf)
     players, rounds = _stats(spark, sf, weather, asked)

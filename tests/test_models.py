@@ -109,3 +109,8 @@ def test_split_target(spark):
     frame, target = X.split_target(spark.createDataFrame([(1, 2)], "score int, handicap int"))
     assert frame.columns == ["handicap"] and target.columns == ["score"]
     assert X.split_target(frame)[1] is None
+
+
+def test_depth_bounds_the_trees(prepared):
+    shallow = models.fit("gbt", prepared[3].limit(400), depth=1).stages[-1]
+    assert {t.depth for t in shallow.trees} <= {0, 1}
