@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clubspark.operators.ranking import dense_ids
@@ -92,42 +92,52 @@ def load_rounds(
 def load_audit(
     scorecards: DataFrame, players: DataFrame, cleaned: DataFrame, weather: DataFrame, stored: DataFrame
 ) -> DataFrame:
-    """Found, existing, new, rejected and final counts per table, one aggregate each.
+    """Found, existing, new, rejected and final counts per table.
 
     ``players``, ``weather`` and ``stored`` are the tables before the load; rounds are
-    checked against all players and all days known after it.
+    checked against all players and all days known after it.  Names and rounds are counted in one pass
+    over the scorecards: every named one has a row per round, so the rounds by name hold all names.
     """
-    seen = players.select("player_name", F.lit(1).alias("known"))
-    names = player_names(scorecards).join(seen, "player_name", "left").agg(
-        F.count(F.lit(1)).alias("found"), F.count("known").alias("known")
-    )
-    days = cleaned.join(weather.select("date", F.lit(1).alias("known")), "date", "left").agg(
-        F.count(F.lit(1)).alias("found"), F.count("known").alias("known")
-    )
     have_day = F.broadcast(
         cleaned.select("date").union(weather.select("date")).distinct().withColumn("known", F.lit(1))
     )
     cards = assign_dates(with_round_id(unpivot_rounds(scorecards)))
-    rounds = cards.join(have_day, cards["round_date"] == have_day["date"], "left").agg(
-        F.count(F.lit(1)).alias("found"),
-        F.count(F.when(F.col("known").isNull() | ~(F.col("score") > 0) | F.col("score").isNull(), 1)).alias("rejected"),
+    refused = F.col("known").isNull() | ~(F.col("score") > 0) | F.col("score").isNull()
+    by_name = (
+        cards.join(have_day, cards["round_date"] == have_day["date"], "left")
+        .groupBy("player_name")
+        .agg(F.count(F.lit(1)).alias("rounds"), F.count(F.when(refused, 1)).alias("refused"))
     )
+    seen = players.select("player_name", F.lit(1).alias("known"))
     zero = F.lit(0).cast("bigint")
+    delivered = by_name.join(seen, "player_name", "left").agg(
+        F.count(F.lit(1)).alias("names"),
+        F.count("known").alias("known"),
+        F.coalesce(F.sum("rounds"), zero).alias("rounds"),
+        F.coalesce(F.sum("refused"), zero).alias("refused"),
+    )
+    days = cleaned.join(weather.select("date", F.lit(1).alias("known")), "date", "left").agg(
+        F.count(F.lit(1)).alias("days"), F.count("known").alias("known")
+    )
 
-    def row(name: str, counts: DataFrame, table: DataFrame, new, rejected) -> DataFrame:
+    def row(name: str, found: Column, table: DataFrame, new: Column, rejected: Column) -> Column:
         existing = table.agg(F.count(F.lit(1))).scalar()
-        return counts.select(
+        return F.struct(
             F.lit(name).alias("table_name"),
-            "found",
+            found.alias("found"),
             existing.alias("existing"),
             new.alias("new"),
             rejected.alias("rejected"),
-            (existing + new).alias("final"),
         )
 
-    fresh = F.col("found") - F.col("known")
-    return (
-        row("players", names, players, fresh, zero)
-        .union(row("weather", days, weather, fresh, zero))
-        .union(row("rounds", rounds, stored, F.col("found") - F.col("rejected"), F.col("rejected")))
+    names, rounds, refused = F.col("names"), F.col("rounds"), F.col("refused")
+    of_cards = delivered.select(
+        F.inline(
+            F.array(
+                row("players", names, players, names - F.col("known"), zero),
+                row("rounds", rounds, stored, rounds - refused, refused),
+            )
+        )
     )
+    of_days = days.select(F.inline(F.array(row("weather", F.col("days"), weather, F.col("days") - F.col("known"), zero))))
+    return of_cards.union(of_days).withColumn("final", F.col("existing") + F.col("new"))

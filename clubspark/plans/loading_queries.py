@@ -137,7 +137,7 @@ def handicaps(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("handicaps_eda", f"""
 SELECT player_id, {handicap_sql('total', 'kept')} AS handicap FROM (
-  SELECT player_id, CAST(sum({differential_sql('score')}) AS BIGINT) AS total, count(*) AS kept FROM (
+  SELECT player_id, sum({differential_sql('score')}) AS total, count(*) AS kept FROM (
     SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY round_id) AS rn, count(*) OVER (PARTITION BY player_id) AS n FROM rounds)
   WHERE rn = 1 OR rn > n - least(20, n) + 1 GROUP BY player_id)""", ("rounds",))
 def handicaps_eda(spark: SparkSession, sf: str) -> DataFrame:
@@ -158,7 +158,7 @@ SELECT p.player_id, player_name, CASE WHEN coalesce(n, 0) >= 30 THEN 'member' EL
 FROM players p
 LEFT JOIN (SELECT player_id, count(*) AS n FROM adjusted GROUP BY player_id) c ON p.player_id = c.player_id
 LEFT JOIN (SELECT player_id, {handicap_sql('total', 'n')} AS handicap FROM (
-  SELECT player_id, CAST(sum({differential_sql('score')}) AS BIGINT) AS total, count(*) AS n FROM (
+  SELECT player_id, sum({differential_sql('score')}) AS total, count(*) AS n FROM (
     SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY round_date DESC, round_id DESC) AS age FROM adjusted)
   WHERE age <= 20 GROUP BY player_id)) h ON p.player_id = h.player_id""", "players", "adjusted")
 
@@ -180,7 +180,7 @@ SELECT names.player_name, CASE WHEN coalesce(n, 0) >= 30 THEN 'member' ELSE 'gue
 FROM (SELECT DISTINCT player_name FROM rounds_raw) AS names
 LEFT JOIN (SELECT player_name, count(*) AS n FROM stored GROUP BY 1) c ON names.player_name = c.player_name
 LEFT JOIN (SELECT player_name, {handicap_sql('total', 'n')} AS handicap FROM (
-  SELECT player_name, CAST(sum({differential_sql('score')}) AS BIGINT) AS total, count(*) AS n FROM (
+  SELECT player_name, sum({differential_sql('score')}) AS total, count(*) AS n FROM (
     SELECT *, row_number() OVER (PARTITION BY player_name ORDER BY round_date DESC, round_id DESC) AS age FROM stored)
   WHERE age <= 20 GROUP BY player_name)) h ON names.player_name = h.player_name"""
 
@@ -284,6 +284,65 @@ def check_columns(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _declared_sql() -> str:
+    """Each declared rule as a statement of its own."""
+    rows = []
+
+    def add(table: str, column: str, rule: str, violations: str) -> None:
+        rows.append(f"SELECT '{table}' AS table_name, '{column}' AS column_name, '{rule}' AS rule, CAST({violations} AS BIGINT) AS violations")
+
+    for table, columns in {
+        "players": ["player_id", "player_name"],
+        "weather": ["date"],
+        "rounds": ["round_id", "player_name", "score"],
+        "bookings": ["booking_id", "tee_time", "price_paid", "round_date", "booking_time"],
+    }.items():
+        for c in columns:
+            add(table, c, "not_null", f"(SELECT count(*) FROM stored_{table} WHERE {c} IS NULL)")
+    for table, column, n in [
+        ("players", "player_name", 100), ("players", "member_status", 20), ("weather", "day_of_week", 20),
+        ("rounds", "player_name", 100), ("bookings", "booking_status", 20),
+    ]:
+        add(table, column, "length", f"(SELECT count(*) FROM stored_{table} WHERE length({column}) > {n})")
+    for table, c in [
+        ("players", "player_id"), ("players", "player_name"), ("weather", "date"), ("rounds", "round_id"), ("bookings", "booking_id")
+    ]:
+        add(table, c, "unique", f"(SELECT count({c}) - count(DISTINCT {c}) FROM stored_{table})")
+    for table, c, parent, key in [
+        ("rounds", "player_id", "players", "player_id"), ("rounds", "round_date", "weather", "date"),
+        ("bookings", "player_id", "players", "player_id"),
+    ]:
+        add(table, c, "reference", f"(SELECT count(*) FROM stored_{table} WHERE {c} NOT IN (SELECT {key} FROM stored_{parent}))")
+    return "\nUNION ALL ".join(rows)
+
+
+@query("check_declared", with_views("", "players", "weather", "rounds_raw") + """
+, stored_players AS (SELECT * FROM players WHERE registered)
+, stored_weather AS (SELECT * FROM weather)
+, stored_rounds AS (SELECT r.*, p.player_id FROM rounds_raw r JOIN players p ON r.player_name = p.player_name WHERE score > 0)
+, stored_bookings AS (
+  SELECT event_id // 2 AS booking_id, user_id AS player_id, ts AS tee_time, CASE WHEN event_id % 7 <> 0 THEN value END AS price_paid,
+    repeat(event_type, CAST(1 + event_id % 4 AS INTEGER)) AS booking_status, CAST(ts AS DATE) AS round_date, ts AS booking_time FROM events)
+""" + _declared_sql())
+def check_declared(spark: SparkSession, sf: str) -> DataFrame:
+    """All declared rules over a venue's tables; the bookings are made of events so that rules of each kind are broken."""
+    registered = D.players(spark, sf, existing=True)
+    event = F.col("event_id")
+    bookings = D.table(spark, sf, "events").select(
+        F.floor(event / 2).alias("booking_id"),
+        F.col("user_id").alias("player_id"),
+        F.col("ts").alias("tee_time"),
+        F.when(event % 7 != 0, F.col("value")).alias("price_paid"),
+        F.repeat("event_type", (event % 4 + 1).cast("int")).alias("booking_status"),
+        F.to_date("ts").alias("round_date"),
+        F.col("ts").alias("booking_time"),
+    )
+    rounds = loading.rounds_from_scorecards(D.scorecards(spark, sf), D.players(spark, sf))
+    return quality.check_declared(
+        {"players": registered, "weather": D.weather_once(spark, sf), "rounds": rounds, "bookings": bookings}
+    )
+
+
 @query("check_foreign_keys", """
 SELECT 'rounds.player_id' AS reference, count(DISTINCT player_id) AS orphan_keys, count(*) AS orphan_rows
 FROM rounds WHERE player_id NOT IN (SELECT player_id FROM players WHERE registered)

@@ -34,12 +34,13 @@ def date_sql(x: str) -> str:
 
 
 def differential_sql(score: str) -> str:
-    t = f"(10 * CAST({score} AS BIGINT) - 673)"
-    return f"(CAST(sign({t}) AS BIGINT) * ((226 * abs({t}) + 119) // 238))"
+    """A round's differential, one decimal; its sum over rounds is exact."""
+    return f"CAST(round(({score} - 67.3::DOUBLE) * 113 / 119, 1) AS DECIMAL(18, 1))"
 
 
 def handicap_sql(total: str, n: str) -> str:
-    return f"(CAST(sign({total}) AS BIGINT) * ((192 * abs({total}) + 100 * {n}) // (200 * {n})) / 10.0)"
+    """96 % of the mean differential, one decimal."""
+    return f"round(CAST({total} * 0.96 AS DOUBLE) / {n}, 1)"
 
 
 _DELTA = """
@@ -113,7 +114,7 @@ FROM rounds""",
     "handicaps": (
         ["rounds"],
         f"""SELECT player_id, {handicap_sql('total', 'n')} AS handicap FROM (
-  SELECT player_id, CAST(sum({differential_sql('score')}) AS BIGINT) AS total, count(*) AS n FROM (
+  SELECT player_id, sum({differential_sql('score')}) AS total, count(*) AS n FROM (
     SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY round_date DESC, round_id DESC) AS age FROM rounds)
   WHERE age <= 20 GROUP BY player_id)""",
     ),

@@ -114,3 +114,11 @@ LENGTHS = {
     "rounds": {"player_name": 100},
     "bookings": {"booking_status": 20},
 }
+
+# Declared keys, and the references as column -> (table, column).
+PRIMARY = {"players": "player_id", "weather": "date", "rounds": "round_id", "bookings": "booking_id"}
+UNIQUE = {"players": ("player_name",)}
+REFERENCES = {
+    "rounds": {"player_id": ("players", "player_id"), "round_date": ("weather", "date")},
+    "bookings": {"player_id": ("players", "player_id")},
+}

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from clubspark import schemas
 from clubspark.deliveries import Deliveries
-from clubspark.operators import player_stats, quality
+from clubspark.operators import loading, player_stats, quality
 from clubspark.player_rows import PlayerRows
 from clubspark.sources import files
 from clubspark.sources.tables import ParquetTables
@@ -178,3 +178,58 @@ def test_a_load_that_broke_off_is_finished_first(spark, tmp_path, monkeypatch):
     rounds = venue.rounds()
     assert sorted(map(str, rounds.where("player_name = 'Ann'").collect())) == broken  # the same ids and dates again
     assert {r["player_name"]: r["rounds_played"] for r in venue.players().collect()} == {"Ann": 3, "Ben": 3}
+
+
+def test_declared_rules_name_every_key_and_reference():
+    kinds = [(r.table, r.column, r.kind) for t in ("players", "weather", "rounds", "bookings") for r in quality.declared_rules(t)]
+    assert len(kinds) == len(set(kinds)) == 24
+    assert ("bookings", "booking_id", "not_null") in kinds and ("weather", "date", "unique") in kinds
+    assert ("rounds", "round_date", "reference") in kinds and ("players", "member_status", "length") in kinds
+
+
+def test_declared_rules_find_what_breaks_them(spark):
+    day = datetime.date(2020, 5, 1)
+    tables = {
+        "players": spark.createDataFrame(
+            [(1, "A", "guest", None, 0), (1, "A", "x" * 21, None, 0), (1, "B", None, None, 0), (None, None, "guest", None, 0)],
+            "player_id long, player_name string, member_status string, handicap double, rounds_played int",
+        ),
+        "weather": spark.createDataFrame([], schemas.WEATHER),
+        # A third column of the same name as those the check uses itself must not matter.
+        "rounds": spark.createDataFrame(
+            [(1, 1, "A", day, 80, "k"), (2, 7, "A", None, None, "k"), (2, None, "y" * 101, day, 81, None)],
+            "round_id long, player_id long, player_name string, round_date date, score int, key string",
+        ),
+    }
+    got = {(r["table_name"], r["column_name"], r["rule"]): r["violations"] for r in quality.check_declared(tables).collect()}
+    broken = {k: n for k, n in got.items() if n}
+    assert broken == {
+        ("players", "player_id", "not_null"): 1,
+        ("players", "player_name", "not_null"): 1,
+        ("players", "player_id", "unique"): 2,
+        ("players", "player_name", "unique"): 1,
+        ("players", "member_status", "length"): 1,
+        ("rounds", "round_id", "unique"): 1,
+        ("rounds", "score", "not_null"): 1,
+        ("rounds", "player_name", "length"): 1,
+        ("rounds", "player_id", "reference"): 1,
+        ("rounds", "round_date", "reference"): 2,
+    }
+    assert all(n == 0 for n in {k: n for k, n in got.items() if k[0] == "weather"}.values()) and len(got) == 16
+
+
+def test_audit_counts_names_and_rounds_in_one_pass(spark, weather):
+    known = spark.createDataFrame([(1, "Player 0"), (2, "Nobody")], "player_id long, player_name string")
+    delivered = cards(spark, range(40)).union(
+        spark.createDataFrame([(900, "Never played", 0, 0, None, 0)], COLUMNS)
+    )
+    days = weather.select(F.col("time").alias("date"))
+    stored = spark.range(7)
+    audit = {r["table_name"]: r.asDict() for r in loading.load_audit(delivered, known, days, days.limit(0), stored).collect()}
+    named = [c for c in delivered.collect() if c["Name"] is not None]
+    scores = [c[f"Open.R{k}"] for c in named for k in (1, 2, 3, 4)]
+    played = sum(1 for s in scores if s)
+    assert audit["players"] == {"table_name": "players", "found": 6, "existing": 2, "new": 5, "rejected": 0, "final": 7}
+    assert audit["rounds"]["found"] == len(scores) and audit["rounds"]["new"] == played
+    assert audit["rounds"]["rejected"] == len(scores) - played and audit["rounds"]["final"] == 7 + played
+    assert audit["weather"]["new"] == audit["weather"]["found"] == days.count()

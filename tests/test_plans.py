@@ -6,7 +6,7 @@ import pytest
 
 from clubspark.plans.catalog import QUERIES
 
-HEAVY = {"model_linear", "model_ridge", "model_forest", "model_gbt", "model_metrics", "actual_vs_predicted", "score_bookings"}
+HEAVY = {"model_linear", "model_ridge", "model_forest", "model_gbt", "model_metrics", "actual_vs_predicted", "score_bookings"} | {"model_metrics_linear", "score_bookings_linear"}
 WRITES = {"scan_csv", "book_newcomers", "append_rounds", "incremental_loads", "file_deliveries"} | {q for q in QUERIES if q.startswith("stream_")}
 
 
@@ -65,6 +65,18 @@ def test_rows_are_numbered_with_one_shuffle(spark, tmp_path):
     assert numbered.where(F.col("n") != F.floor(F.col("id") / 3) + 1).count() == 0
 
 
+def test_audit_reads_the_delivery_once(spark, sf):
+    """One scan of orders is the delivery, the other the table that an earlier load stored."""
+    text = plan(QUERIES["load_audit"](spark, sf)).split("== Physical Plan ==")[1]
+    assert text.count("orders.parquet") <= 2 and "lineitem.parquet" not in text
+
+
+def test_declared_rules_share_one_shuffle(spark, sf):
+    """Keys of all rules meet once; the second exchange holds a row per rule and task, the third is the player look-up."""
+    text = plan(QUERIES["check_declared"](spark, sf)).split("== Physical Plan ==")[1]
+    assert len(re.findall(r"hashpartitioning\(rule#\d+, key#\d+", text)) == 1
+
+
 @pytest.mark.parametrize("name", ["describe_scores"])
 def test_quartiles_need_no_buffer_of_values(name, spark, sf):
     assert "percentile" not in plan(QUERIES[name](spark, sf))
