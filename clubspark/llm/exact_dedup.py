@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clubspark.llm.common import sha, small, without
+from clubspark.llm.common import prepare, sha, small, without
 from clubspark.session import materialize
 
 #: Fingerprints that one owner receives on average.
@@ -127,6 +127,7 @@ def groups(docs: DataFrame) -> DataFrame:
     shuffled, reduced in the scan stage to one row per text and task, and grouped
     by their bytes.  keep_id is the largest doc_id, null only if all are null.
     """
+    prepare(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     n = docs.count()
     bits, _ = fingerprint_bits(n)
@@ -143,7 +144,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     Null texts count as empty, empty texts are equal to each other.  Rows that agree in id
     and text are all marked kept if theirs is the largest id (:func:`deduplicate` leaves one
     of them).  A null id is kept only where the whole group has null ids.  An empty
-    table gives an empty result; further columns are not looked at.
+    table gives an empty result; further columns are not looked at.  Texts of any length are hashed and
+    compared whole; only those whose fingerprint occurs again are shuffled.
     """
     rows = docs.select("doc_id", sha(docs["text"]).alias("sha"))
     joined = rows.join(groups(docs), "sha", "left")

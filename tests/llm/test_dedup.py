@@ -1,6 +1,10 @@
 import hashlib
+import os
 import random
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,6 +15,8 @@ from clubspark.llm.common import table
 from clubspark.llm.components import components
 from tests.llm.conftest import plain, texts_of
 
+ROOT = Path(__file__).resolve().parents[2]
+
 
 def roots_of(pairs):
     """Plain union-find."""
@@ -191,3 +197,19 @@ def test_long_texts_are_cut_into_pieces(spark, monkeypatch):
         mine = found["text"] == text
         windows = np.concatenate([np.arange(a, b - 99) for a, b in zip(start[mine], stop[mine], strict=True)])
         assert sorted(windows.tolist()) == list(range(2901))
+
+
+def test_workers_need_no_installed_package(tmp_path):
+    """A plain frame, workers that start in another folder: the operator sends its code along."""
+    script = tmp_path / "away.py"
+    script.write_text(
+        f"import sys; sys.path.insert(0, {str(ROOT)!r})\n"
+        "from clubspark.session import local_session\n"
+        "from clubspark.llm.exact_dedup import exact_duplicates\n"
+        "spark = local_session(2, shuffle_partitions=2, memory='2g')\n"
+        "docs = spark.createDataFrame([(1, 'a b'), (2, 'a b'), (3, None)], 'doc_id long, text string')\n"
+        "print(sorted((r.doc_id, r.keep_id, r.kept) for r in exact_duplicates(docs).collect()))\n"
+    )
+    away = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=away, capture_output=True, text=True, timeout=300)
+    assert "[(1, 2, False), (2, 2, True), (3, 3, True)]" in done.stdout, done.stderr[-2000:]
