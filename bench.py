@@ -16,7 +16,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from clubspark.plans.catalog import QUERIES
-from clubspark.session import local_session
+from clubspark.session import local_session, release
 
 HEADLINE = [
     "weather_impact",
@@ -69,6 +69,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        release(spark)
     print(
         json.dumps(
             {

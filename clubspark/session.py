@@ -37,6 +37,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
+#: Folders handed out and not yet released, by application.
+_made: dict[str, list[str]] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh path below the folder all executors share.
 
@@ -50,7 +54,22 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="clubspark-")
-    return f"{root.rstrip('/')}/clubspark-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/clubspark-{uuid.uuid4().hex}"
+    _made.setdefault(context.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the folders this application has been handed since the last call; how many there were.
+
+    Frames that read from them are lost: call it when their results are written.
+    """
+    context = spark.sparkContext
+    paths = _made.pop(context.applicationId, [])
+    for path in paths:
+        found = context._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(context._jsc.hadoopConfiguration()).delete(found, True)
+    return len(paths)
 
 
 def materialize(df: DataFrame) -> DataFrame:
