@@ -1,30 +1,20 @@
 import os
 
-import pytest
-
+from clubspark import session
 from clubspark.session import materialize, release, shared_folder
 
 
-@pytest.fixture
-def folder(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    yield tmp_path
-    spark.conf.unset("spark.checkpoint.dir")
-
-
-def test_released_folders_are_gone(spark, folder):
+def test_released_folders_are_gone(spark):
     """Only the folders handed out are deleted, whether or not something was written there."""
-    from clubspark import session
-
-    before = session._made.pop(spark.sparkContext.applicationId, [])
+    application = spark.sparkContext.applicationId
+    others = session._made.pop(application, [])
     try:
         kept = materialize(spark.range(5))
         assert sorted(r["id"] for r in kept.collect()) == list(range(5))
-        unused = shared_folder(spark)
-        (folder / "other").mkdir()
-        assert not os.path.exists(unused) and len(os.listdir(folder)) == 2
+        written, unused = session._made[application][0], shared_folder(spark)
+        assert os.path.exists(written) and not os.path.exists(unused)
         assert release(spark) == 2
-        assert os.listdir(folder) == ["other"]
+        assert not os.path.exists(written) and os.path.exists(os.path.dirname(written))
         assert release(spark) == 0
     finally:
-        session._made[spark.sparkContext.applicationId] = before
+        session._made[application] = others
