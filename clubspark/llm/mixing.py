@@ -85,6 +85,7 @@ def mix(
     columns pass unchanged, and texts of any length are only measured and moved.
 
     The table of rates has a row per source; it is broadcast only when counted to be small.
+    Of a text only the size is looked at, so its length does not matter.
     """
     rated = small(with_inverse(rates(docs, weights, temperature, epochs)).select("source", "parts", "cdf"), 100_000)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

@@ -225,6 +225,7 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: float
     false where the base rules fail, else whether it reaches ``keep``.  Null and empty texts have no words, fail
     and have quality 0.  Without labels of both classes the trees say the share of good labels.
     Repeated rows give repeated rows; an empty table an empty result; further columns are not looked at.
+    A text of any length is measured whole, one at a time within its batch.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
 

@@ -216,6 +216,7 @@ def near_duplicates(
     one node, so copies cost nothing.  Null and empty texts have fingerprint zero and are linked like
     others; null ids are passed over by the minimum, so a component of null ids alone has a null component_id.
     Repeated rows give repeated rows; an empty table an empty result; further columns are not looked at.
+    A text of any length gives all its shingles, repeats included.
     """
     return _classed(docs, shingle, distance, block).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"

@@ -273,6 +273,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     passage and the score of a clean text; null ids count as held out; labels of unknown documents are
     ignored, of several labels of an id the larger one counts; without labels of both classes
     every score is near 0.  Repeated rows give repeated rows; further columns are not looked at.
+    An empty table gives an empty result.  A text of any length is scanned whole, in time proportional to it.
     """
     judged = docs.select("doc_id", scorer(fit(docs, labels, sample), docs).alias("judged"))
     return judged.select(

@@ -129,6 +129,7 @@ def judge(
     allow.  root names the class.  A null url, or one without ://, has an empty host and path, no rule
     and no alias, and is allowed; a null html declares nothing.  Repeated rows give repeated rows; an empty table an
     empty result; further columns are not looked at.
+    Addresses and pages of any length are read whole.
     """
     # a class of one spelling needs no edge; only spellings with edges go through the components
     links = materialize(aliases(pages, redirects))
