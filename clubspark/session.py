@@ -37,8 +37,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
-#: Folders handed out and not yet released, by application.
-_made: dict[str, list[str]] = {}
+#: Folders handed out by this process and not yet released.
+_made: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -55,17 +55,18 @@ def shared_folder(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="clubspark-")
     path = f"{root.rstrip('/')}/clubspark-{uuid.uuid4().hex}"
-    _made.setdefault(context.applicationId, []).append(path)
+    _made.append(path)
     return path
 
 
 def release(spark: SparkSession) -> int:
-    """Delete the folders this application has been handed since the last call; how many there were.
+    """Delete the folders this process has been handed since the last call; how many there were.
 
     Frames that read from them are lost: call it when their results are written.
     """
     context = spark.sparkContext
-    paths = _made.pop(context.applicationId, [])
+    paths = _made.copy()
+    _made.clear()
     for path in paths:
         found = context._jvm.org.apache.hadoop.fs.Path(path)
         found.getFileSystem(context._jsc.hadoopConfiguration()).delete(found, True)

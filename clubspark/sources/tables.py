@@ -98,6 +98,18 @@ class JdbcTables:
         """Options of a query; ``:name`` parameters go in as quoted literals, tables in braces by their names."""
         return {**self.options, "query": with_literals(re.sub(r"{(\w+)}", r"\1", sql), args or {})}
 
+    def exists_options(self, name: str) -> dict[str, str]:
+        """Options of a query with one row if the table is there, in the schema before the dot or in any."""
+        schema, _, table = name.rpartition(".")
+        sql = "SELECT 1 AS found FROM information_schema.tables WHERE table_name = :table"
+        if schema:
+            sql += " AND table_schema = :schema"
+        return self.query_options(sql + " LIMIT 1", {"table": table, "schema": schema})
+
+    def exists(self, name: str) -> bool:
+        """Asked of the database's catalog, so a lost connection is an error and not a missing table."""
+        return not self.spark.read.format("jdbc").options(**self.exists_options(name)).load().isEmpty()
+
     def write_options(self, name: str, batch_size: int = 10000) -> dict[str, str]:
         return {**self.options, "dbtable": name, "batchsize": str(batch_size)}
 

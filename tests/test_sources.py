@@ -72,6 +72,9 @@ def test_jdbc_options(spark):
     assert asked["query"] == "SELECT ':n', a::int FROM players WHERE name = 'O''Neil' AND born < DATE '2000-01-02'"
     with pytest.raises(KeyError):
         db.query_options("SELECT :missing")
+    there = db.exists_options("club.o'rounds")["query"]
+    assert there.endswith("WHERE table_name = 'o''rounds' AND table_schema = 'club' LIMIT 1")
+    assert "table_schema" not in db.exists_options("rounds")["query"]
 
 
 class Session:
