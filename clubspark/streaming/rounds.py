@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,58 +97,83 @@ class PlayerStatsStream:
         return copy
 
 
+def _latest_of_players(keep: int):
+    """Rows (player_id, day, round_id, score, rounds) to the ``keep`` latest of each player, the first with the sum of all ``rounds``."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        order = [("player_id", "ascending"), ("day", "descending"), ("round_id", "descending")]
+        rows = rows.take(pc.sort_indices(rows, sort_keys=order))
+        if not rows.num_rows:
+            return rows
+        key, nameless = pc.fill_null(rows["player_id"], 0).to_numpy(), pc.is_null(rows["player_id"]).to_numpy()
+        begins = np.concatenate([[True], (key[1:] != key[:-1]) | (nameless[1:] != nameless[:-1])])
+        starts, player = np.flatnonzero(begins), np.cumsum(begins) - 1
+        totals = np.add.reduceat(rows["rounds"].to_numpy(), starts)
+        rows = rows.set_column(4, "rounds", pa.array(np.where(begins, totals[player], 0), pa.int64()))
+        return rows.filter(pa.array(np.arange(len(key)) - starts[player] < keep))
+
+    return run
+
+
 class PlayerStateStream:
-    """One row of state per player, however many rounds and micro-batches: the count and the 20 latest rounds.
+    """The state of each player, however many rounds and micro-batches: the count and the 20 latest rounds.
 
     Each task first reduces its rounds to a count and 20 rows per player, so that a player who holds a third of a
-    batch sends 20 rows a task to the operator that keeps the state.  Late rounds find their place among the
+    batch sends 20 rows a task to the operator that keeps the state.  Players of a range of ids share a row of the
+    state and are brought up to date together.  Late rounds find their place among the
     latest ones.  The state lives in the checkpoint and is read from there; a batch that is repeated starts from the
     state before it.
     """
 
-    STATE = "rounds long, days array<long>, ids array<long>, scores array<int>"
+    STATE = "players array<long>, days array<long>, ids array<long>, scores array<int>, rounds array<long>"
     PARTS = "player_id long, day long, round_id long, score int, rounds long"
 
-    def __init__(self, spark: SparkSession, checkpoint: str, keep: int = player_stats.LATEST):
+    def __init__(self, spark: SparkSession, checkpoint: str, keep: int = player_stats.LATEST, ids_per_range: int = 1_000):
         self.spark, self.checkpoint, self.keep = spark, checkpoint.rstrip("/"), keep
+        self.ids_per_range = ids_per_range
 
     def reduced(self, rounds: DataFrame) -> DataFrame:
         """Per task and player the latest rounds, the first of them with the count of all."""
-        keep = self.keep
+        latest = _latest_of_players(self.keep)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held = None
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, settled = [], 0
             for batch in batches:
-                batch = batch.assign(rounds=1)
-                held = batch if held is None else pd.concat([held, batch])
-                held = held.sort_values(["day", "round_id"], ascending=False, kind="stable")
-                by_player = held.groupby("player_id", dropna=False, sort=False)
-                place, total = by_player.cumcount(), by_player["rounds"].transform("sum")
-                held = held.assign(rounds=total.where(place == 0, 0))[place < keep]
-            if held is not None:
-                yield held
-
-        narrow = rounds.select("player_id", F.unix_date("round_date").cast("long").alias("day"), "round_id", F.col("score").cast("int").alias("score"))
-        return narrow.mapInPandas(run, self.PARTS)
+                held.append(batch)
+                if sum(x.num_rows for x in held) > max(2 * settled, 100_000):
+                    held = latest(pa.Table.from_batches(held)).combine_chunks().to_batches()
+                    settled = sum(x.num_rows for x in held)
+            if held:
+                yield from latest(pa.Table.from_batches(held)).to_batches()
+
+        day = F.unix_date("round_date").cast("long").alias("day")
+        narrow = rounds.select("player_id", day, "round_id", F.col("score").cast("int").alias("score"), F.lit(1).cast("long").alias("rounds"))
+        return narrow.mapInArrow(run, self.PARTS)
 
     def updates(self, rounds: DataFrame) -> DataFrame:
         """(player_id, rounds, days, ids, scores) of the players of each micro-batch, after it."""
-        keep = self.keep
+        latest = _latest_of_players(self.keep)
+        fields = [("player_id", pa.int64()), ("day", pa.int64()), ("round_id", pa.int64()), ("score", pa.int32()), ("rounds", pa.int64())]
 
         def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-            total, days, ids, scores = state.get if state.exists else (0, [], [], [])
-            best = list(zip(days, ids, scores))
+            schema = pa.schema(fields)
+            rows = pa.table([pa.array(x, f.type) for x, f in zip(state.get, schema)], schema) if state.exists else schema.empty_table()
+            seen = []
             for part in parts:
-                total += int(part["rounds"].sum())
-                values = [None if pd.isna(x) else int(x) for x in part["score"]]
-                best += zip(map(int, part["day"]), map(int, part["round_id"]), values)
-                best = sorted(best, key=lambda x: x[:2], reverse=True)[:keep]
-            columns = [list(c) for c in zip(*best)]
-            state.update((total, *columns))
-            yield pd.DataFrame({"player_id": [key[0]], "rounds": [total]} | {n: [c] for n, c in zip(("days", "ids", "scores"), columns)})
-
-        grouped = self.reduced(rounds).groupBy("player_id")
-        return grouped.applyInPandasWithState(update, f"player_id long, {self.STATE}", self.STATE, "update", GroupStateTimeout.NoTimeout)
+                part = pa.Table.from_pandas(part, schema, preserve_index=False)
+                seen.append(part["player_id"].combine_chunks())
+                rows = latest(pa.concat_tables([rows, part]))
+            state.update(tuple(rows[c].to_pylist() for c in schema.names))
+            rows = rows.filter(pc.is_in(rows["player_id"], pa.concat_arrays(seen))).combine_chunks()
+            firsts = np.flatnonzero(rows["rounds"].to_numpy())
+            ends = pa.array([*firsts, rows.num_rows], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, rows[c].combine_chunks()).to_pylist() for c in ("day", "round_id", "score")]
+            each = [rows[c].take(firsts).to_pylist() for c in ("player_id", "rounds")]
+            yield pd.DataFrame(dict(zip(("player_id", "rounds", "days", "ids", "scores"), [*each, *lists])))
+
+        grouped = self.reduced(rounds).withColumn("ids", F.expr(f"player_id div {self.ids_per_range}")).groupBy("ids")
+        out = "player_id long, rounds long, days array<long>, ids array<long>, scores array<int>"
+        return grouped.applyInPandasWithState(update, out, self.STATE, "update", GroupStateTimeout.NoTimeout)
 
     def start(self, rounds: DataFrame, available_now: bool = True) -> StreamingQuery:
         writer = self.updates(rounds).writeStream.format("noop").outputMode("update")
@@ -154,15 +182,21 @@ class PlayerStateStream:
             writer = writer.trigger(availableNow=True)
         return writer.start()
 
+    def _kept(self) -> DataFrame:
+        """The kept rounds as rows of ``PARTS``, as of the last finished batch."""
+        stored = self.spark.read.format("statestore").load(self.checkpoint).select("value.groupState.*")
+        rows = stored.select(F.inline(F.arrays_zip("players", "days", "ids", "scores", "rounds")))
+        return rows.toDF("player_id", "day", "round_id", "score", "rounds")
+
     def state(self) -> DataFrame:
         """(player_id, rounds, days, ids, scores), one row per player, as of the last finished batch."""
-        stored = self.spark.read.format("statestore").load(self.checkpoint)
-        return stored.select("key.player_id", "value.groupState.*")
+        best = F.sort_array(F.collect_list(F.struct("day", "round_id", "score")), asc=False).alias("best")
+        players = self._kept().groupBy("player_id").agg(F.sum("rounds").alias("rounds"), best)
+        return players.selectExpr("player_id", "rounds", "best.day AS days", "best.round_id AS ids", "best.score AS scores")
 
     def stats(self, players: DataFrame) -> DataFrame:
-        state = self.state()
-        latest = state.select("player_id", F.explode("scores").alias("score"))
-        return player_stats.player_stats_from(players, state.select("player_id", "rounds"), latest)
+        kept = self._kept()
+        return player_stats.player_stats_from(players, player_stats.merge_counts(kept), kept.select("player_id", "score"))
 
 
 class BookingStream:

@@ -76,6 +76,24 @@ def test_state_is_one_row_per_player(spark, all_rounds, players, tmp_path):
     assert rows(state.stats(players)) == rows(player_stats.player_stats(players, rounds.unionByName(late)))
 
 
+def test_players_of_a_range_share_a_row_of_state(spark, players, tmp_path):
+    """3,000 players in three ranges: the function that keeps the state is called three times a batch, not once per player."""
+    rounds = spark.range(0, 9000, 1, 3).select(
+        F.col("id").alias("round_id"), F.when(F.col("id") != 5, F.col("id") % 3000).alias("player_id"),
+        F.date_add(F.lit(D0), (F.col("id") % 11).cast("int")).alias("round_date"), F.when(F.col("id") % 7 != 0, F.lit(80)).alias("score"),
+    )
+    rounds.write.parquet(str(tmp_path / "in"))
+    state = S.PlayerStateStream(spark, str(tmp_path / "checkpoint"))
+    running = state.start(S.file_stream(spark, str(tmp_path / "in"), rounds.schema, max_files=1))
+    running.awaitTermination()
+    progress = [p for p in running.recentProgress if p["numInputRows"]]
+    assert len(progress) == 3 and progress[-1]["stateOperators"][0]["numRowsTotal"] == 4  # the null player's range too
+    assert rows(state.stats(players)) == rows(player_stats.player_stats(players, rounds))
+    got = {r["player_id"]: r for r in state.state().collect()}
+    assert len(got) == 3001 and got[None]["ids"] == [5]
+    assert got[17]["rounds"] == 3 and sorted(got[17]["ids"]) == [17, 3017, 6017] and got[17]["days"] == sorted(got[17]["days"], reverse=True)
+
+
 def test_a_hot_player_sends_few_rows(spark, tmp_path):
     hot = spark.range(5000).select(
         F.col("id").alias("round_id"), F.lit(1).cast("long").alias("player_id"), F.date_add(F.lit(D0), (F.col("id") % 700).cast("int")).alias("round_date"), F.lit(80).alias("score")
