@@ -114,3 +114,50 @@ def test_split_target(spark):
 def test_depth_bounds_the_trees(prepared):
     shallow = models.fit("gbt", prepared[3].limit(400), depth=1).stages[-1]
     assert {t.depth for t in shallow.trees} <= {0, 1}
+
+
+def test_boosting_on_groups_equals_boosting_on_rows(prepared, monkeypatch):
+    """Equal bins, one row: the same trees as over all rows, however often these are repeated."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    monkeypatch.setattr(models, "BOOSTING_ROUNDS", 5)
+    train = prepared[3].orderBy("round_id").limit(3000).cache()
+    repeated = train.crossJoin(train.sparkSession.range(3).select(F.lit(1).alias("_"))).drop("_")
+    rows = VectorAssembler(inputCols=X.FEATURES, outputCol="features").transform(train)
+    plain = GBTRegressor(labelCol="score", maxIter=5, stepSize=models.BOOSTING_RATE, maxDepth=models.BOOSTING_DEPTH, seed=models.SEED).fit(rows)
+    want = [r[0] for r in plain.transform(rows).orderBy("round_id").select("prediction").collect()]
+    for frame in (train, repeated):
+        scored = models.fit("gbt", frame).transform(train)
+        assert scored.columns == [*train.columns, "features", "prediction"]
+        assert [r[0] for r in scored.orderBy("round_id").select("prediction").collect()] == pytest.approx(want, abs=1e-6)
+
+
+def test_forest_samples_rows_of_groups(spark, prepared, monkeypatch):
+    """Rows repeated 50 times are as many groups; samples hold the rows' number and mean; the forest learns and can be stored."""
+    monkeypatch.setattr(models, "TREES", 6)
+    train = prepared[3].limit(500).cache()
+    repeated = train.crossJoin(spark.range(50).select(F.lit(1).alias("_"))).drop("_")
+    stages, names = models._binning(repeated)
+    groups = models._binned(train, stages, names).select(*names).distinct().count()
+    drawn = models.bootstrap(models._binned(repeated, stages, names), names, 6).toPandas()
+    assert len(drawn) == groups <= 500
+    mean, sd = (repeated.agg(f("score")).first()[0] for f in (F.avg, F.stddev_pop))
+    totals = [drawn[f"rows_{t}"].sum() for t in range(6)]
+    assert len(set(totals)) > 1 and all(abs(n - 25_000) < 6 * 25_000**0.5 for n in totals)
+    assert all(abs(drawn[f"sum_{t}"].sum() / totals[t] - mean) < 6 * sd / 25_000**0.5 for t in range(6))
+
+    forest = models.fit("forest", train, depth=3)
+    scored = forest.transform(train)
+    assert scored.columns == [*train.columns, "features", "prediction"] and models.metrics(scored).first()["r2"] > 0.02
+    assert sum(w for _, w in models.importances(forest)) == pytest.approx(1.0)
+
+
+def test_cuts_are_the_trees_own():
+    import pandas as pd
+
+    cuts = models._cuts_of_feature(4)
+    few = pd.DataFrame({"feature": "x", "value": [3.0, 1.0, 2.0], "count": [1, 1, 1]})
+    assert cuts(few)["cuts"].iloc[0] == [1.5, 2.5]
+    many = pd.DataFrame({"feature": "x", "value": [float(i) for i in range(8)], "count": [2] * 8})
+    assert cuts(many)["cuts"].iloc[0] == [1.5, 3.5, 5.5]
