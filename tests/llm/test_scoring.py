@@ -1,9 +1,12 @@
 import hashlib
 import math
+import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -311,3 +314,54 @@ def test_every_training_word_has_an_output_of_its_own():
             trainer.step(rows, logit, side)
     after = model.score([np.array([a, b]), np.array([a, c])])
     assert after[0] - before[0] > after[1] - before[1]
+
+
+def test_words_in_arrow_are_those_of_python():
+    """Slices included: Arrow's lower-casing goes wrong on some."""
+    rng = random.Random(3)
+    texts = [b"", b" ", b" a  B\n", b"\x00 x", b"\x1c\x1d\x85\xa0 \xff\xfe Z", b"\x0b\x0cq\r", " \u00c9 \u00e9 \u212a".encode()]
+    texts += [bytes(rng.choice(b"aB \n\t\x0b\x0c\r\x1c\x00\xc3") for _ in range(rng.randrange(12))) for _ in range(500)]
+    for array in (pa.array(texts, pa.binary()), pa.array([b"zz", *texts], pa.binary())[1:], pa.array([], pa.binary())):
+        expected = [t.lower().split() for t in array.to_pylist()]
+        sizes, words = language_model.words_of(array)
+        assert sizes.tolist() == [len(x) for x in expected]
+        assert words.to_pylist() == [w for x in expected for w in x]
+
+
+def test_minibatches_are_cut_after_the_same_text(monkeypatch):
+    """Texts of any batch go on until TOKENS are reached; every text keeps its tokens and its end."""
+    monkeypatch.setattr(language_model, "TOKENS", 50)
+    monkeypatch.setattr(language_model, "CHUNK", 700)
+    texts = [b" ".join(b"w%d" % (i * j % 23) for j in range(i % 17)) for i in range(200)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 40)), pa.array(texts[i : i + 40], pa.binary())], ["rid", "text"]) for i in range(0, 200, 40)]
+    model = language_model._start([], [])
+    words = sorted({w for t in texts for w in t.split()})
+    cache = {w: i + 1 for i, w in enumerate([*words, language_model.END])}
+    monkeypatch.setattr(model, "ids", lambda asked, _: np.array([cache[w] for w in asked]))
+    got = list(language_model._minibatches(iter(batches), model))
+    assert [r for m in got for r, _ in m] == list(range(200))
+    assert [x.tolist() for m in got for _, x in m] == [[*[cache[w] for w in t.split()], cache[language_model.END]] for t in texts]
+    sizes = [[len(x) for _, x in m] for m in got]
+    assert all(sum(s) >= 50 > sum(s[:-1]) for s in sizes[:-1])
+
+
+def test_sums_of_contexts_equal_reduceat_in_less_time():
+    """A step adds up the gradients of each hashed row as np.add.reduceat does, bit for bit, without its cost per number."""
+    rng = np.random.default_rng(2)
+    table = rng.normal(size=(20_000, 48)).astype(np.float32)
+    rows = np.concatenate([np.sort(rng.zipf(1.3, 20_000) % 16_384), rng.integers(0, 16_384, 40_000)])
+    order = language_model._stable_order(rows, 1 << 14)
+    assert (order == language_model._stable_order(rows, 1 << 20)).all() and (order == np.argsort(rows, kind="stable")).all()
+    source, starts = order % 20_000, np.flatnonzero(np.diff(rows[order], prepend=-1))
+    times: dict[str, list[float]] = {"plain": [], "new": []}
+    for _ in range(5):
+        began = time.process_time()
+        plain = np.add.reduceat(table[source], starts, axis=0)
+        between = time.process_time()
+        total = np.full_like(plain, np.nan)
+        for groups, part in language_model._sums(table, source, starts):
+            total[groups] = part
+        times["plain"].append(between - began)
+        times["new"].append(time.process_time() - between)
+        assert (total == plain).all()
+    assert min(times["new"]) < 0.7 * min(times["plain"])
