@@ -337,7 +337,7 @@ def test_minibatches_are_cut_after_the_same_text(monkeypatch):
     model = language_model._start([], [])
     words = sorted({w for t in texts for w in t.split()})
     cache = {w: i + 1 for i, w in enumerate([*words, language_model.END])}
-    monkeypatch.setattr(model, "ids", lambda asked, _: np.array([cache[w] for w in asked]))
+    monkeypatch.setattr(model, "ids", lambda asked: np.array([cache[w] for w in asked]))
     got = list(language_model._minibatches(iter(batches), model))
     assert [r for m in got for r, _ in m] == list(range(200))
     assert [x.tolist() for m in got for _, x in m] == [[*[cache[w] for w in t.split()], cache[language_model.END]] for t in texts]
