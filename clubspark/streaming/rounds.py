@@ -109,7 +109,8 @@ def _latest_of_players(keep: int):
         begins = np.concatenate([[True], (key[1:] != key[:-1]) | (nameless[1:] != nameless[:-1])])
         starts, player = np.flatnonzero(begins), np.cumsum(begins) - 1
         totals = np.add.reduceat(rows["rounds"].to_numpy(), starts)
-        rows = rows.set_column(4, "rounds", pa.array(np.where(begins, totals[player], 0), pa.int64()))
+        # The field as it came: merged rows must join with later batches, whose counts are declared never null.
+        rows = rows.set_column(4, rows.schema.field("rounds"), pa.array(np.where(begins, totals[player], 0), pa.int64()))
         return rows.filter(pa.array(np.arange(len(key)) - starts[player] < keep))
 
     return run

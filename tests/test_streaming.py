@@ -102,6 +102,20 @@ def test_a_hot_player_sends_few_rows(spark, tmp_path):
     assert len(reduced) == 4 * player_stats.LATEST and sum(r["rounds"] for r in reduced) == 5000
 
 
+def test_a_task_of_many_rounds_is_merged_on_the_way(spark, players, tmp_path):
+    """One task of 250,000 rounds merges its rows while more batches come, also of files and into the state."""
+    many = spark.range(0, 250_000, 1, 1).select(
+        F.col("id").alias("round_id"), (F.col("id") % 7000).alias("player_id"),
+        F.date_add(F.lit(D0), (F.col("id") * 37 % 700).cast("int")).alias("round_date"), F.when(F.col("id") % 9 != 0, F.lit(80)).alias("score"),
+    )
+    state = S.PlayerStateStream(spark, str(tmp_path / "checkpoint"))
+    reduced = state.reduced(many)
+    assert reduced.agg(F.sum("rounds"), F.count(F.lit(1)), F.countDistinct("player_id")).first()[:] == (250_000, 140_000, 7000)
+    many.write.parquet(str(tmp_path / "in"))
+    state.start(S.file_stream(spark, str(tmp_path / "in"), many.schema)).awaitTermination()
+    assert rows(state.stats(players)) == rows(player_stats.player_stats(players, many))
+
+
 def sides(spark):
     people = spark.createDataFrame([(1, "Ann", 5.0)], "player_id long, player_name string, handicap double")
     played = spark.createDataFrame([(1, 1)], "round_id long, player_id long")
