@@ -116,17 +116,48 @@ def _latest_of_players(keep: int):
     return run
 
 
+def _merged_players(keep: int):
+    """Tables of rows to the ``keep`` latest of each player, merged whenever they have doubled."""
+    latest = _latest_of_players(keep)
+
+    def run(tables: Iterator[pa.Table]) -> pa.Table | None:
+        held, settled = [], 0
+        for table in tables:
+            held.append(table)
+            if sum(x.num_rows for x in held) > max(2 * settled, 100_000):
+                held = [latest(pa.concat_tables(held))]
+                settled = held[0].num_rows
+        return latest(pa.concat_tables(held)) if held else None
+
+    return run
+
+
+def _packing():
+    """(pack, unpack): a table to the bytes of a compressed Arrow stream, and back."""
+
+    def pack(rows: pa.Table) -> bytes:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(rows.combine_chunks())
+        return sink.getvalue().to_pybytes()
+
+    def unpack(packed: bytes) -> pa.Table:
+        return pa.ipc.open_stream(pa.py_buffer(packed)).read_all()
+
+    return pack, unpack
+
+
 class PlayerStateStream:
     """The state of each player, however many rounds and micro-batches: the count and the 20 latest rounds.
 
     Each task first reduces its rounds to a count and 20 rows per player, so that a player who holds a third of a
     batch sends 20 rows a task to the operator that keeps the state.  Players of a range of ids share a row of the
-    state and are brought up to date together.  Late rounds find their place among the
+    state, a packed table, and are brought up to date together.  Late rounds find their place among the
     latest ones.  The state lives in the checkpoint and is read from there; a batch that is repeated starts from the
     state before it.
     """
 
-    STATE = "players array<long>, days array<long>, ids array<long>, scores array<int>, rounds array<long>"
+    STATE = "kept binary"
     PARTS = "player_id long, day long, round_id long, score int, rounds long"
 
     def __init__(self, spark: SparkSession, checkpoint: str, keep: int = player_stats.LATEST, ids_per_range: int = 1_000):
@@ -135,17 +166,12 @@ class PlayerStateStream:
 
     def reduced(self, rounds: DataFrame) -> DataFrame:
         """Per task and player the latest rounds, the first of them with the count of all."""
-        latest = _latest_of_players(self.keep)
+        merged = _merged_players(self.keep)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, settled = [], 0
-            for batch in batches:
-                held.append(batch)
-                if sum(x.num_rows for x in held) > max(2 * settled, 100_000):
-                    held = latest(pa.Table.from_batches(held)).combine_chunks().to_batches()
-                    settled = sum(x.num_rows for x in held)
-            if held:
-                yield from latest(pa.Table.from_batches(held)).to_batches()
+            rows = merged(pa.Table.from_batches([x]) for x in batches)
+            if rows is not None:
+                yield from rows.combine_chunks().to_batches()
 
         day = F.unix_date("round_date").cast("long").alias("day")
         narrow = rounds.select("player_id", day, "round_id", F.col("score").cast("int").alias("score"), F.lit(1).cast("long").alias("rounds"))
@@ -153,22 +179,28 @@ class PlayerStateStream:
 
     def updates(self, rounds: DataFrame) -> DataFrame:
         """(player_id, rounds, days, ids, scores) of the players of each micro-batch, after it."""
-        latest = _latest_of_players(self.keep)
+        merged, (pack, unpack) = _merged_players(self.keep), _packing()
         fields = [("player_id", pa.int64()), ("day", pa.int64()), ("round_id", pa.int64()), ("score", pa.int32()), ("rounds", pa.int64())]
 
         def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-            schema = pa.schema(fields)
-            rows = pa.table([pa.array(x, f.type) for x, f in zip(state.get, schema)], schema) if state.exists else schema.empty_table()
-            seen = []
-            for part in parts:
-                part = pa.Table.from_pandas(part, schema, preserve_index=False)
-                seen.append(part["player_id"].combine_chunks())
-                rows = latest(pa.concat_tables([rows, part]))
-            state.update(tuple(rows[c].to_pylist() for c in schema.names))
-            rows = rows.filter(pc.is_in(rows["player_id"], pa.concat_arrays(seen))).combine_chunks()
+            schema, seen = pa.schema(fields), []
+
+            def tables() -> Iterator[pa.Table]:
+                if state.exists:
+                    yield unpack(state.get[0])
+                for part in parts:
+                    part = pa.Table.from_pandas(part, schema, preserve_index=False)
+                    seen.append(part["player_id"].unique())
+                    yield part
+
+            rows = merged(tables())
+            state.update((pack(rows.replace_schema_metadata()),))
+            rows = rows.filter(pc.is_in(rows["player_id"], pa.concat_arrays(seen).unique())).combine_chunks()
             firsts = np.flatnonzero(rows["rounds"].to_numpy())
             ends = pa.array([*firsts, rows.num_rows], pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, rows[c].combine_chunks()).to_pylist() for c in ("day", "round_id", "score")]
+            lists = [rows[c].combine_chunks() for c in ("day", "round_id", "score")]
+            lists = [pa.ListArray.from_arrays(ends, x) for x in lists]
+            lists = [x.to_pylist() if x.values.null_count else x.to_pandas() for x in lists]  # pandas would make nulls NaN
             each = [rows[c].take(firsts).to_pylist() for c in ("player_id", "rounds")]
             yield pd.DataFrame(dict(zip(("player_id", "rounds", "days", "ids", "scores"), [*each, *lists])))
 
@@ -185,9 +217,15 @@ class PlayerStateStream:
 
     def _kept(self) -> DataFrame:
         """The kept rounds as rows of ``PARTS``, as of the last finished batch."""
-        stored = self.spark.read.format("statestore").load(self.checkpoint).select("value.groupState.*")
-        rows = stored.select(F.inline(F.arrays_zip("players", "days", "ids", "scores", "rounds")))
-        return rows.toDF("player_id", "day", "round_id", "score", "rounds")
+        _, unpack = _packing()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for packed in batch.column(0):
+                    yield from unpack(packed.as_py()).to_batches()
+
+        stored = self.spark.read.format("statestore").load(self.checkpoint).select("value.groupState.kept")
+        return stored.mapInArrow(run, self.PARTS)
 
     def state(self) -> DataFrame:
         """(player_id, rounds, days, ids, scores), one row per player, as of the last finished batch."""
